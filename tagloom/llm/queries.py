@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagloom.llm import exact_dedup
+from tagloom.llm import byte_bpe, exact_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_dedup": exact_dedup.query,
+    "op10_byte_bpe": byte_bpe.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
