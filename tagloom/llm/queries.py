@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagloom.llm import byte_bpe, exact_dedup
+from tagloom.llm import byte_bpe, exact_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": toxicity.query,
     "op5_exact_dedup": exact_dedup.query,
     "op10_byte_bpe": byte_bpe.query,
 }
