@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagloom.llm import byte_bpe, exact_dedup, toxicity
+from tagloom.llm import byte_bpe, chat_trees, exact_dedup, language_id, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.query,
     "op5_exact_dedup": exact_dedup.query,
     "op10_byte_bpe": byte_bpe.query,
+    "op4_chat_trees": chat_trees.query,
+    "op7_language_id": language_id.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_exact_dedup": exact_dedup.SQL,
+    "op4_chat_trees": chat_trees.SQL,
 }
