@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagloom.llm import byte_bpe, chat_trees, exact_dedup, language_id, line_dedup, toxicity
+from tagloom.llm import byte_bpe, chat_trees, decontamination, exact_dedup, language_id, line_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.query,
     "op5_exact_dedup": exact_dedup.query,
     "op10_byte_bpe": byte_bpe.query,
+    "op2_decontamination": decontamination.query,
     "op6_line_dedup": line_dedup.query,
     "op4_chat_trees": chat_trees.query,
     "op7_language_id": language_id.query,
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op5_exact_dedup": exact_dedup.SQL,
+    "op2_decontamination": decontamination.SQL,
     "op6_line_dedup": line_dedup.SQL,
     "op4_chat_trees": chat_trees.SQL,
 }
