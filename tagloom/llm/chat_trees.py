@@ -38,19 +38,24 @@ def unescape(text: Column) -> Column:
 
 
 def _jumps(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-    """Tables (tree, node, up) whose `up` is 1, 2, 4 ... steps above, and (tree, node, total) for nodes that reach a root."""
+    """Tables (tree, node, up) whose `up` is 1, 2, 4 ... steps above, and (tree, node, total) for nodes that reach a root.
+
+    Only nodes that have not reached a root take part in a round, so the rounds that a deep tree needs are its own.
+    """
     most = nodes.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
     parents = nodes.select(F.col("tree").alias("t"), F.col("node").alias("p"))
     step = nodes.join(parents, F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("p")), "left").select("tree", "node", F.col("p").alias("up"), F.col("score").alias("total"))
     step, tables, reach = materialize(step, "jump"), [], 1
+    done = step.where("up is null")
     while step.where("up is not null").limit(1).count() and reach <= most:
-        tables.append(step)
-        above = step.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("total").alias("total2"))
+        active = step.where("up is not null")
+        tables.append(active)
+        above = done.unionByName(active).select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("total").alias("total2"))
         step = materialize(
-            step.join(above, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n")), "left")
-            .select("tree", "node", F.col("up2").alias("up"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total")), "jump")
+            active.join(above, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n"))).select("tree", "node", F.col("up2").alias("up"), (F.col("total") + F.col("total2")).alias("total")), "jump")
+        done = done.unionByName(step.where("up is null"))
         reach *= 2
-    return tables, step.where("up is null")
+    return tables, done
 
 
 def paths(nodes: DataFrame, top: int = 1) -> DataFrame:
