@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagloom.llm import byte_bpe, chat_trees, decontamination, exact_dedup, jaccard_join, language_id, line_dedup, pii, toxicity
+from tagloom.llm import byte_bpe, chat_trees, decontamination, exact_dedup, jaccard_join, language_id, line_dedup, pii, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.query,
     "op5_exact_dedup": exact_dedup.query,
     "op9_pii": pii.query,
+    "op8_suffix_dedup": suffix_dedup.query,
     "op10_byte_bpe": byte_bpe.query,
     "op3_jaccard_join": jaccard_join.query,
     "op2_decontamination": decontamination.query,
