@@ -112,20 +112,23 @@ def splitters(texts: DataFrame, buckets: int) -> np.ndarray:
     return got[(np.arange(1, buckets) * len(got)) // buckets] if len(got) else got
 
 
-def _classify(key: np.ndarray, span: np.ndarray, tid: np.ndarray, pack: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of rows sorted by key and span: which are repeated as a whole, and which are to be compared (one of each span)."""
+def _classify(key: np.ndarray, span: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows sorted by key and span, each standing for n equal ones: which are repeated as a whole, which are the first of
+    their span in a group of several spans, and for first ones how many rows their span has (else 0)."""
     new_key = np.append(True, key[1:] != key[:-1])
     new_span = new_key | np.append(True, span[1:] != span[:-1])
-    first = np.flatnonzero(new_span)
-    size = np.diff(np.append(first, len(key)))
-    whole = np.repeat(size > 1, size)
-    spans = np.add.reduceat(new_span.astype(np.int64), np.flatnonzero(new_key))
-    several = np.repeat(spans > 1, np.diff(np.append(np.flatnonzero(new_key), len(key))))
-    return whole, several & new_span
+    first, start = np.flatnonzero(new_span), np.flatnonzero(new_key)
+    size = np.add.reduceat(n, first)
+    whole = np.repeat(size > 1, np.diff(np.append(first, len(key))))
+    spans = np.add.reduceat(new_span.astype(np.int64), start)
+    several = np.repeat(spans > 1, np.diff(np.append(start, len(key))))
+    total = np.zeros(len(key), np.int64)
+    total[first] = size
+    return whole, several & new_span, total
 
 
 def arrange(texts: DataFrame) -> DataFrame:
-    """(kind, key, span, tid, pack): anchors whose spans are repeated (kind 0), to be compared (kind 1), or of a splitter's gram (kind 2)."""
+    """(kind, key, span, tid, pack, n): anchors whose spans are repeated (kind 0), to be compared (kind 1), or of a splitter's gram (kind 2)."""
     spark = texts.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     between = splitters(texts, n)
@@ -145,26 +148,31 @@ def arrange(texts: DataFrame) -> DataFrame:
         if not got:
             return
         rows = [np.concatenate(x) for x in zip(*got, strict=True)]
-        order = np.lexsort((rows[1], rows[0]))
+        order = np.lexsort((rows[3], rows[2], rows[1], rows[0]))
         rows = [x[order] for x in rows]
+        # copies of a text are one text: their rows are equal in all columns
+        fresh = np.flatnonzero(np.append(True, np.any([x[1:] != x[:-1] for x in rows], 0)))
+        n, rows = np.diff(np.append(fresh, len(order))), [x[fresh] for x in rows]
         shared = np.isin(rows[0], sent.value)
-        whole, compare = _classify(*rows)
-        for kind, chosen in ((0, whole & ~shared), (1, compare & ~shared), (2, shared)):
+        whole, compare, total = _classify(rows[0], rows[1], n)
+        # of a gram that may lie in other buckets too, one row of each span goes on, with the number that this bucket has
+        for kind, chosen in ((0, whole), (1, compare & ~shared), (2, shared & (total > 0))):
             at = np.flatnonzero(chosen)
             for i in range(0, len(at), 100_000):
                 part = at[i : i + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int32)), *(pa.array(x[part]) for x in rows)], ["kind", "key", "span", "tid", "pack"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int32)), *(pa.array(x[part]) for x in rows), pa.array(total[part])], ["kind", "key", "span", "tid", "pack", "n"])
 
     rows = texts.mapInArrow(emit, f"{COLUMNS}, bucket int").repartitionById(n, F.col("bucket")).drop("bucket")
-    return materialize(rows.mapInArrow(sort, f"kind int, {COLUMNS}"), "anchors")
+    return materialize(rows.mapInArrow(sort, f"kind int, {COLUMNS}, n long"), "anchors")
 
 
 def across_boundaries(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of anchors whose gram is a splitter: those repeated as a whole, those to be compared, and those of large groups."""
-    spans = rows.groupBy("key", "span").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("tid", "pack")).alias("one"))
+    """Of grams that are splitters, a row for each span and bucket: further spans that are repeated as a whole (once in each of
+    several buckets), those to be compared, and those of large groups."""
+    spans = rows.groupBy("key", "span").agg(F.sum("n").alias("all"), F.min(F.struct("tid", "pack")).alias("one"))
     spans = materialize(spans, "spans")
     groups = materialize(spans.groupBy("key").agg(F.count(F.lit(1)).alias("spans")), "groups")  # at most a row a splitter
-    whole = rows.join(spans.where("n > 1").select("key", "span"), ["key", "span"], "left_semi").select("tid", "pack")
+    whole = rows.where("n = 1").join(spans.where("all > 1").select("key", "span"), ["key", "span"], "left_semi").select("tid", "pack")
     several = spans.join(F.broadcast(groups), "key").where("spans > 1").select("spans", "key", F.col("one.tid").alias("tid"), F.col("one.pack").alias("pack"))
     return whole, several.where(F.col("spans") <= GROUP).drop("spans"), several.where(F.col("spans") > GROUP).drop("spans")
 
@@ -291,7 +299,16 @@ def covered(docs: DataFrame, text_col: str = "text") -> DataFrame:
     if many.limit(1).count():
         runs = runs.unionByName(compare_large(_spans_of(texts, many)))
     spans = runs.groupBy("tid").agg(F.collect_set(F.struct(F.col("first").alias("start"), (F.col("last") + LENGTH).alias("end"))).alias("spans"))
-    return materialize(spans.withColumnRenamed("tid", "own"), "covered")
+    return materialize(spans.select(F.col("tid").alias("own"), "spans").mapInArrow(_merged, "own long, spans array<struct<start:long,end:long>>"), "covered")
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), _span_array([_union(x) for x in batch.column(1).to_pylist()])], ["own", "spans"])
+
+
+def _span_array(rows: list[list[tuple[int, int]]]) -> pa.Array:
+    return pa.array([[{"start": a, "end": b} for a, b in r] for r in rows], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
 
 
 def _union(spans: list[dict[str, int]] | None) -> list[tuple[int, int]]:
@@ -320,10 +337,10 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     parts.append(data[at:start])
                     at = end
                 n.append(len(data))
-                spans.append([{"start": a, "end": b} for a, b in gone])
+                spans.append(gone)
                 kept.append(b"".join([*parts, data[at:]]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())], [id_col, "n_bytes", "spans", "kept"])
+                [batch.column(0), pa.array(n, pa.int64()), _span_array(spans), pa.array(kept, pa.binary())], [id_col, "n_bytes", "spans", "kept"])
 
     return rows.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
 
