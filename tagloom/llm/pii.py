@@ -50,7 +50,7 @@ MAY_HAVE = {"email": r"@|[\[(](?:at|AT)[\])]", "ip": r"[0-9]\.[0-9]++\.[0-9]", "
 WORDS = r"(?i)(?:tel|phone|call|fax|mobil|mail|contact|card|visa|account|ip|addr|host|server)"
 FEATURES = ["kind", "luhn", "octets", "digits", "letters", "paren", "dash", "dot", "space", "before", "after", "word"]
 FOLDS, HELD_OUT = 4, 0
-TREES, RATE, LEAST, PRECISION = 24, 0.3, 4, 0.95
+TREES, RATE, LEAST, PRECISION, SURE = 24, 0.3, 4, 0.95, 0.9
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -192,9 +192,27 @@ def _grow(rows: list[tuple[tuple[int, ...], float, float]], depth: int) -> Split
     return Split(f, v, _grow([r for r in rows if r[0][f] <= v], depth - 1), _grow([r for r in rows if r[0][f] > v], depth - 1))
 
 
-def boost(cells: list[Cell]) -> list[Split]:
-    """Boosted trees of depth three for the logistic loss."""
-    scores, trees = [0.0] * len(cells), []
+@dataclass
+class Model:
+    """Boosted trees of depth three for the logistic loss, from the log-odds of all examples on."""
+
+    start: float
+    trees: list[Split]
+
+    def of(self, x: tuple[int, ...]) -> float:
+        return self.start + sum(t.of(x) for t in self.trees)
+
+    def sql(self) -> str:
+        return " + ".join([f"{self.start:.6f}D", *(t.sql("c") for t in self.trees)])
+
+
+def boost(cells: list[Cell]) -> Model | None:
+    """None without examples of both classes."""
+    total, right = sum(n for _, n, _ in cells), sum(y for _, _, y in cells)
+    if not 0 < right < total:
+        return None
+    model = Model(math.log(right / (total - right)), [])
+    scores = [model.start] * len(cells)
     for _ in range(TREES):
         rows = []
         for (x, n, y), s in zip(cells, scores, strict=True):
@@ -203,20 +221,20 @@ def boost(cells: list[Cell]) -> list[Split]:
         tree = _grow(rows, 3)
         if isinstance(tree, Leaf):
             break
-        trees.append(tree)
+        model.trees.append(tree)
         scores = [s + tree.of(c[0]) for s, c in zip(scores, cells, strict=True)]
-    return trees
+    return model
 
 
-def calibrate(trees: list[Split], cells: list[Cell]) -> list[float]:
-    """For each kind the least score from which on PRECISION of the candidates are examples for; infinite if none is."""
+def calibrate(model: Model, cells: list[Cell]) -> list[float]:
+    """For each kind the least score, of probability SURE or more, from which on PRECISION of the candidates are examples for; infinite if none is."""
     out = []
     for k in range(len(KINDS)):
-        scored = sorted(((sum(t.of(x) for t in trees), n, y) for x, n, y in cells if x[0] == k), reverse=True)
+        scored = sorted(((model.of(x), n, y) for x, n, y in cells if x[0] == k), reverse=True)
         least, total, right = math.inf, 0, 0
         for i, (s, n, y) in enumerate(scored):
             total, right = total + n, right + y
-            if right >= PRECISION * total and total >= LEAST and (i + 1 == len(scored) or scored[i + 1][0] < s):
+            if s >= math.log(SURE / (1 - SURE)) and right >= PRECISION * total and total >= LEAST and (i + 1 == len(scored) or scored[i + 1][0] < s):
                 least = s
         out.append(least)
     return out
@@ -229,11 +247,11 @@ def _learn(found: DataFrame) -> tuple[str, str] | None:
         (F.col("fold") == HELD_OUT).alias("held"), *(F.col(f"c.{x}") for x in FEATURES), inside.cast("long").alias("y"))
     cells = rows.groupBy("held", *FEATURES).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y")).collect()  # bounded by the features' values
     by = {held: sorted((tuple(r[x] for x in FEATURES), r["n"], r["y"]) for r in cells if r["held"] == held) for held in (False, True)}
-    trees = boost(by[False])
-    chosen = [(k, x) for k, x in enumerate(calibrate(trees, by[True])) if x < math.inf] if trees else []
-    if not chosen:
+    model = boost(by[False])
+    chosen = [(k, x) for k, x in enumerate(calibrate(model, by[True])) if x < math.inf] if model else []
+    if not model or not chosen:
         return None
-    score = " + ".join(t.sql("c") for t in trees)
+    score = model.sql()
     return score, f"{score} >= CASE c.kind " + " ".join(f"WHEN {k} THEN {x - 1e-4:.6f}D" for k, x in chosen) + " ELSE double('Infinity') END"
 
 
