@@ -6,7 +6,7 @@ bracket falls below zero, the step goes the other way (it pushes the bracket up
 
 Features: a word's evidence is pi times its rate in P over its rate in U, the share of its uses that lie in toxic
 texts; a word takes the best of itself and its beginnings of four to seven letters. Words are counted by four levels of
-evidence; the counts, their shares of the text and its length are what the classifier sees. Evidence is taken from one half
+evidence; the counts and their shares of the text are what the classifier sees: a text without evidence scores as an empty one. Evidence is taken from one half
 of the sample for the texts of the other half, so that the classifier meets evidence as reliable as it will be later.
 
 The model is fitted on a bounded sample: SAMPLE_POSITIVE and SAMPLE_UNLABELLED rows, those of smallest hash, none over
@@ -89,7 +89,7 @@ class Levels(dict):
 def describe(tokens: list[str], levels: Levels) -> np.ndarray:
     n = len(tokens)
     c = np.bincount(np.fromiter(map(levels.__getitem__, tokens), np.int64, n), minlength=len(LEVELS) + 1)[1:]
-    return np.concatenate([np.log1p(c), np.sqrt(c / max(1, n)), [np.log1p(n) / 5]])
+    return np.concatenate([np.log1p(c), np.sqrt(c / max(1, n))])
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
