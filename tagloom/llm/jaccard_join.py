@@ -31,36 +31,32 @@ from pyspark.sql import functions as F
 
 from tagloom.llm.common import as_bytes, if_small, materialize, mix64, slim, table
 from tagloom.llm.components import relabel
+from tagloom.llm.rolling import Rolling
 
 N = 5
-#: Groups of a point: a power of two, LEAST_GROUPS or about a group for PER_GROUP shingles if that is more.
-LEAST_GROUPS, MOST_GROUPS, PER_GROUP = 64, 1 << 16, 8
+#: Groups of a point, see point().
+LEAST_GROUPS, MOST_GROUPS, PER_GROUP, FEW = 64, 1 << 16, 8, 512
 #: Frequent shingles that are put last, and the fewest regions' members that make one frequent.
 HOT, HOT_LEAST = 2_000_000, 64
-LEAF, ROUNDS, MEMORY = 48, 2, 1_500_000
+LEAF, MANY, ROUNDS, MEMORY = 48, 40, 2, 500_000
+#: Counts that a tree may hold at once.
+CELLS = 8_000_000
 #: Fixed odd factors that tell a shingle's places apart.
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
-class WordHash(dict):
-    """64-bit hash of a word, kept for those met before (bounded: speed only)."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > MEMORY:
-            self.clear()
-        h = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return h
-
-
-_HASHES = WordHash()
+_IS_SPACE = np.isin(np.arange(256), list(b"\x20\x09\x0a\x0b\x0c\x0d"))
+_ROLL = Rolling()
 
 
 def shingles(text: bytes | None) -> np.ndarray:
     """The set of a text: ascending 64-bit hashes of its different shingles."""
-    w = text.lower().split() if text else []
-    if not w:
+    data = np.frombuffer(text.lower() if text else b"", np.uint8)
+    edge = np.flatnonzero(np.diff(_IS_SPACE[data], prepend=True, append=True))
+    start, end = edge[::2], edge[1::2]
+    if not len(start):
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_HASHES.__getitem__, w), np.uint64, len(w))
+    h = mix64(_ROLL.parts(_ROLL.sums(data), start, end) + (end - start).astype(np.uint64))
     n = min(N, len(h))
     s = np.full(len(h) - n + 1, n, np.uint64)
     for k in range(n):
@@ -72,14 +68,46 @@ def set_id(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def point(s: np.ndarray) -> np.ndarray:
-    """Counts of the groups; a group is the hash's upper bits, so points of fewer groups are sums of neighbours."""
-    groups = min(MOST_GROUPS, max(LEAST_GROUPS, 1 << max(0, (len(s) - 1) // PER_GROUP).bit_length()))
-    return np.bincount((s >> np.uint64(64 - groups.bit_length() + 1)).astype(np.int64), minlength=groups).astype(np.int32)
+def point(s: np.ndarray) -> bytes:
+    """The point of a set: LEAST_GROUPS counts, then the finer groups that its size asks for.
+
+    A group is the hash's upper bits, so counts of fewer groups are sums of neighbours. Up to FEW shingles the finer groups
+    are the MOST_GROUPS ones, written as a list; above, they are counts of about a group for PER_GROUP shingles.
+    """
+    fine = (s >> np.uint64(48)).astype(np.uint16)
+    low = np.bincount(fine >> 10, minlength=LEAST_GROUPS).astype(np.uint32)
+    if len(s) > FEW:
+        groups = min(MOST_GROUPS, 1 << ((len(s) - 1) // PER_GROUP).bit_length())
+        fine = np.bincount(fine // (MOST_GROUPS // groups), minlength=groups).astype(np.uint16 if len(s) < MOST_GROUPS else np.uint32)
+    return low.tobytes() + fine.tobytes()
+
 
+class Point:
+    """A point that was read: n, low (counts of LEAST_GROUPS), and fine: a list of groups or counts."""
 
-def fold(p: np.ndarray, groups: int) -> np.ndarray:
-    return p.reshape(groups, -1).sum(1) if len(p) > groups else p
+    def __init__(self, data: bytes):
+        self.low = np.frombuffer(data, np.uint32, LEAST_GROUPS)
+        self.n = int(self.low.sum())
+        self.listed = self.n <= FEW
+        self.fine = np.frombuffer(data, np.uint32 if self.n >= MOST_GROUPS else np.uint16, offset=4 * LEAST_GROUPS)
+
+    def counts(self, groups: int) -> np.ndarray:
+        if self.listed:
+            return np.bincount(self.fine // (MOST_GROUPS // groups), minlength=groups)
+        return self.fine.astype(np.int64).reshape(groups, -1).sum(1)
+
+
+def could_link(a: Point, b: Point) -> bool:
+    """Whether the minima of the finest groups that both have allow a link."""
+    if a.listed and b.listed:
+        x, i = np.unique(a.fine, return_counts=True)
+        y, j = np.unique(b.fine, return_counts=True)
+        _, u, v = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+        shared = np.minimum(i[u], j[v]).sum()
+    else:
+        groups = min(MOST_GROUPS if p.listed else len(p.fine) for p in (a, b))
+        shared = np.minimum(a.counts(groups), b.counts(groups)).sum()
+    return 7 * int(shared) >= 3 * (a.n + b.n)
 
 
 def prefix(s: np.ndarray, hot: np.ndarray) -> np.ndarray:
@@ -121,7 +149,7 @@ def read_points(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 s = shingles(text)
                 n.append(len(s))
                 sid.append(set_id(s))
-                points.append(point(s).tobytes() if len(s) else b"")
+                points.append(point(s) if len(s) else b"")
                 if len(s) and sid[-1] not in seen:
                     seen.add(sid[-1])
                     own.append(prefix(s, s[:0]))
@@ -182,11 +210,6 @@ def regions(docs: DataFrame, hot: np.ndarray, id_col: str, text_col: str) -> Dat
     return materialize(rows.join(first, ["sig", "key"]).select("key", "sid"), "regions")
 
 
-def could_link(a: np.ndarray, b: np.ndarray) -> bool:
-    groups = min(len(a), len(b))
-    return 7 * int(np.minimum(fold(a, groups), fold(b, groups)).sum()) >= 3 * int(a.sum() + b.sum())
-
-
 class Box:
     """A node of an R-tree: the upper corner, sizes and components of the points order[lo:hi], and up to two children."""
 
@@ -197,19 +220,24 @@ class Box:
         self.parts: list[Box] = []
         if len(order) > LEAF:
             spread = p.max(0) - p.min(0)
-            by = order[np.argsort(p[:, spread.argmax()], kind="stable")] if spread.any() else order
+            if 3 * self.n[1] > 4 * self.n[0]:  # sizes too far apart to link: the size is the coordinate to split
+                by = order[np.argsort(tree.n[order], kind="stable")]
+            else:
+                by = order[np.argsort(p[:, spread.argmax()], kind="stable")] if spread.any() else order
             self.parts = [Box(tree, by[: len(by) // 2]), Box(tree, by[len(by) // 2 :])]
 
 
 class Tree:
     """The R-tree of a region's points, and its join with itself."""
 
-    def __init__(self, points: list[np.ndarray], comp: np.ndarray):
+    def __init__(self, points: list[Point], comp: np.ndarray):
         self.points, self.comp = points, comp
-        self.low = np.array([fold(p, LEAST_GROUPS) for p in points])
+        self.low = np.array([p.low for p in points]).astype(np.int32)
         self.n = self.low.sum(1)
+        self.listed = np.array([p.listed for p in points])
+        self.all: tuple | None = None
 
-    def pairs(self) -> Iterator[tuple[int, int]]:
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs of different components whose bounds allow a link."""
         root = Box(self, np.arange(len(self.points)))
         todo = [(root, root)]
@@ -226,18 +254,43 @@ class Tree:
             elif b.parts:
                 todo += [(a, x) for x in b.parts]
             else:
-                yield from self._leaves(a, b)
+                yield self._leaves(a, b)
 
-    def _leaves(self, a: Box, b: Box) -> Iterator[tuple[int, int]]:
+    def _leaves(self, a: Box, b: Box) -> tuple[np.ndarray, np.ndarray]:
         i, j = a.order[:, None], b.order[None, :]
-        shared = np.minimum(self.low[a.order][:, None], self.low[b.order][None, :]).sum(2)
-        ok = (7 * shared >= 3 * (self.n[i] + self.n[j])) & (self.comp[i] != self.comp[j])
+        ok = (4 * self.n[i] >= 3 * self.n[j]) & (4 * self.n[j] >= 3 * self.n[i]) & (self.comp[i] != self.comp[j])
         if a is b:
             ok &= i < j
-        for x, y in zip(*np.nonzero(ok), strict=True):
-            x, y = int(a.order[x]), int(b.order[y])
-            if could_link(self.points[x], self.points[y]):
-                yield x, y
+        x, y = np.nonzero(ok)
+        shared = np.minimum(self.low[a.order[x]], self.low[b.order[y]]).sum(1)
+        ok[x, y] = 7 * shared >= 3 * (self.n[a.order[x]] + self.n[b.order[y]])
+        x, y = np.nonzero(ok)
+        if len(x) > MANY and self.listed[a.order].all() and self.listed[b.order].all():
+            # many pairs of small sets: products of counts, which are no less than their minima, for all at once
+            p, q = self._counts(a.order, b.order)
+            x, y = np.nonzero(ok & (7 * (p @ q.T) >= 3 * (self.n[i] + self.n[j])))
+        return a.order[x], b.order[y]
+
+    def _counts(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of the finest groups of points a and of points b, by the groups that occur. Made once if all fit CELLS."""
+        if self.all is None:
+            small = np.flatnonzero(self.listed)
+            whole = _table([self.points[k].fine for k in small])
+            self.all = (np.searchsorted(small, np.arange(len(self.points))), whole) if whole is not None else ()
+        if self.all:
+            row, whole = self.all
+            return whole[row[a]], whole[row[b]]
+        both = _table([self.points[k].fine for k in [*a, *b]], limit=None)
+        return both[: len(a)], both[len(a) :]
+
+
+def _table(lists: list[np.ndarray], limit: int | None = CELLS) -> np.ndarray | None:
+    """A row of counts for each list; None if that takes more than limit cells."""
+    names, at = np.unique(np.concatenate(lists), return_inverse=True)
+    if limit is not None and len(names) * len(lists) > limit:
+        return None
+    row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    return np.bincount(row * len(names) + at, minlength=len(lists) * len(names)).reshape(len(lists), -1).astype(np.float32)
 
 
 def _with_labels(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -256,16 +309,20 @@ def star_pairs(rows: DataFrame, labels: DataFrame | None, salt: int) -> DataFram
 
 
 def cross_pairs(rows: DataFrame, labels: DataFrame | None, points: DataFrame) -> DataFrame:
-    """(a, b): all pairs of different components that share a region and may link, by each region's R-tree."""
+    """(a, b): all pairs of different components that share a region and may link, by each region's R-tree.
+
+    A pair may share many regions, so only the coarse counts are compared here (for small sets, the fine ones too); verified() compares the fine ones once.
+    """
     rows = _with_labels(rows, labels)
     mixed = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    rows = rows.join(mixed, "key").join(points.select("sid", "point"), "sid").select("key", "sid", "comp", "point")
+    coarse = points.select("sid", F.when(F.col("n") > FEW, F.substring("point", 1, 4 * LEAST_GROUPS)).otherwise(F.col("point")).alias("point"))
+    rows = rows.join(mixed, "key").join(coarse, "sid").select("key", "sid", "comp", "point")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def joined(sid: list[int], comp: list[int], data: list[bytes]) -> pa.RecordBatch:
             _, comps = np.unique(np.array(comp, np.int64), return_inverse=True)
-            got = list(Tree([np.frombuffer(p, np.int32) for p in data], comps).pairs())
-            a, b = np.array([sid[x] for x, _ in got], np.int64), np.array([sid[y] for _, y in got], np.int64)
+            got = [np.empty((2, 0), np.int64), *map(np.stack, Tree([Point(p) for p in data], comps).pairs())]
+            a, b = np.array(sid, np.int64)[np.concatenate(got, 1)]
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
         key, held = None, ([], [], [])
@@ -312,18 +369,17 @@ class Sets:
         return self.known
 
 
-def verified(pairs: DataFrame, points: DataFrame, sets: Sets, bounded: bool) -> DataFrame:
-    """The pairs that link, by their whole sets. bounded: their points have been compared already."""
-    if not bounded:
-        a, b = (points.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("point").alias(f"p{x}")) for x in "ab")
-        sized = materialize(pairs.join(a.drop("pa"), "a").join(b.drop("pb"), "b").where("4 * na >= 3 * nb and 4 * nb >= 3 * na").select("a", "b"), "pairs")
+def verified(pairs: DataFrame, points: DataFrame, sets: Sets) -> DataFrame:
+    """The pairs that link: by size, by the fine counts of their points, then by their whole sets."""
+    a, b = (points.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("point").alias(f"p{x}")) for x in "ab")
+    sized = materialize(pairs.join(a.drop("pa"), "a").join(b.drop("pb"), "b").where("4 * na >= 3 * nb and 4 * nb >= 3 * na").select("a", "b"), "pairs")
 
-        def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ok = [could_link(np.frombuffer(x, np.int32), np.frombuffer(y, np.int32)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-                yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = [could_link(Point(x), Point(y)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-        pairs = sized.join(a.drop("na"), "a").join(b.drop("nb"), "b").select("a", "b", "pa", "pb").mapInArrow(bound, "a long, b long")
+    pairs = sized.join(a.drop("na"), "a").join(b.drop("nb"), "b").select("a", "b", "pa", "pb").mapInArrow(bound, "a long, b long")
     pairs = materialize(pairs, "pairs")
     known = sets.of(pairs)
     a, b = (known.select(F.col("sid").alias(x), F.col("set").alias(f"s{x}")) for x in "ab")
@@ -350,8 +406,8 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     members = regions(docs, hot, id_col, text_col)
     sets, labels = Sets(docs, points, id_col, text_col), None
     for k in range(ROUNDS):
-        labels = relabel(labels, verified(star_pairs(members, labels, k), points, sets, bounded=False))
-    labels = relabel(labels, verified(cross_pairs(members, labels, points), points, sets, bounded=True))
+        labels = relabel(labels, verified(star_pairs(members, labels, k), points, sets))
+    labels = relabel(labels, verified(cross_pairs(members, labels, points), points, sets))
     # names: the smallest id of a component
     ids = points.select("sid", "id").join(if_small(labels).withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     linked = ids.join(labels.select("comp").distinct(), "comp").groupBy("comp").agg(F.min("id").alias("component_id"))
@@ -369,3 +425,20 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op3: every document with the size of its set and its component."""
     return jaccard_groups(table(spark, sf_dir, "documents"))
+
+
+SQL = r"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, row_number() OVER () AS rid,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+    FROM documents),
+k AS (SELECT rid, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM d WHERE len(w) > 0),
+g AS (SELECT DISTINCT rid, array_to_string(w[i:i + 4], ' ') AS s FROM k),
+n AS (SELECT rid, count(*) AS n FROM g GROUP BY rid),
+p AS (SELECT a.rid AS a, b.rid AS b, count(*) AS shared FROM g AS a JOIN g AS b ON a.s = b.s AND a.rid <> b.rid GROUP BY a.rid, b.rid),
+l AS (SELECT a, b FROM p JOIN n AS x ON x.rid = a JOIN n AS y ON y.rid = b WHERE 100 * shared >= 75 * (x.n + y.n - shared)),
+r AS (SELECT rid AS a, rid AS b FROM d UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+SELECT x.doc_id, coalesce(n.n, 0) AS n_shingles, min(y.doc_id) AS component_id
+FROM d AS x JOIN r ON r.a = x.rid JOIN d AS y ON y.rid = r.b LEFT JOIN n ON n.rid = x.rid
+GROUP BY x.rid, x.doc_id, n.n
+"""
