@@ -12,6 +12,7 @@ from tagloom.operators import structure
 from tagloom.operators.lexer import END, FIRST, LAST, RAW, START, TEXT, tokens
 from tagloom.operators.namespaces import innermost
 from tagloom.schema import ParserOptions
+from tagloom.sources.documents import decoded
 
 _LATER = 1 << 30
 _FAILED = "failed"
@@ -58,8 +59,10 @@ def parse_xml(docs: DataFrame, options: ParserOptions = ParserOptions(), id_col:
 
     A document that is not well-formed has the events before its first error, then an ERROR row, and no END_DOCUMENT.
     depth counts the elements around an event (its own included, for tags); node_id is the seq of the element's start tag, for text of the
-    element around it; parent_id is that of the element one level up, null for roots. A null document is an empty one.
+    element around it; parent_id is that of the element one level up, null for roots. A null document is an empty one. A binary column is decoded by options.encoding.
     """
+    if docs.schema[xml_col].dataType.typeName() == "binary":
+        docs = docs.withColumn(xml_col, decoded(F.col(f"`{xml_col}`"), options.encoding))
     if not options.namespaces:
         return _parse(docs, options, False, id_col, xml_col)
     # resolving looks at tags twice, so documents without declarations go another way: there, no prefix has a uri

@@ -92,6 +92,11 @@ def test_options(spark):
     assert [r.name for r in one(spark, "<a\tb='1'></a>", strict=True) if r.name] == ["a", "a"]
 
 
+def test_bytes(spark):
+    docs = spark.createDataFrame([(1, bytearray("<a>é</a>".encode("latin-1")))], "doc_id long, xml binary")
+    assert [r.value for r in parse_xml(docs, ParserOptions(encoding="ISO-8859-1")).collect() if r.value] == ["é"]
+
+
 def test_tree_columns(spark):
     rows = one(spark, "<a>t<b><c/></b><b>u</b></a>")
     assert [(r.type[:3], r.name, r.depth, r.node_id, r.parent_id) for r in rows[1:-1]] == [

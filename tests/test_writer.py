@@ -6,6 +6,7 @@ import random
 
 from tagloom import schema as S
 from tagloom.operators.nodes import nodes
+from tagloom.plans.calls import Calls
 from tagloom.plans.parse import parse_xml
 from tagloom.plans.write import ATTRS, nodes_to_events, write_xml, writer_events
 from tagloom.schema import WriterOptions
@@ -65,6 +66,13 @@ def test_entities(spark):
     assert written(spark, [start("a"), chars("<&"), DONE], encode_entities=False).xml == "<a><&</a>"
 
 
+def test_calls(spark):
+    calls = Calls().start_document().start_element("a", attributes={"k": "v"}).namespace("p", "u").attribute("l", "w", "p").start_element("b", prefix="p", attributes={"m": ("x", "p")}).characters("<").end_element()
+    calls = calls.comment("c").processing_instruction("t", "d").start_element("s", self_closing=True).cdata("z").end_element().end_document()
+    assert write_xml(calls.frame(spark)).first().xml == '<?xml version="1.0" encoding="UTF-8"?><a k="v" xmlns:p="u" p:l="w"><p:b p:m="x">&lt;</p:b><!-- c --><?t d?><s/><![CDATA[z]]></a>'
+    assert write_xml(Calls().end_element().frame(spark)).first().error == "No open element to close."
+
+
 def test_not_ended(spark):
     assert written(spark, [start("a"), start("b"), chars("t")]).xml == "<a><b>t"
 
