@@ -402,7 +402,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     points = materialize(rows.where("n > 0").groupBy("sid").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("point").alias("point")), "points")
     entries = read.where("kind = 1")
     often = entries.groupBy(F.col("sid").alias("key")).agg(F.sum("n").alias("n")).where(F.col("n") > HOT_LEAST).orderBy(F.desc("n"), "key").limit(HOT)
-    hot = np.sort(np.array([r[0] for r in often.select("key").collect()], np.int64).view(np.uint64))
+    hot = np.sort(often.select("key").toArrow()["key"].to_numpy().astype(np.int64).view(np.uint64))  # at most HOT numbers
     members = regions(docs, hot, id_col, text_col)
     sets, labels = Sets(docs, points, id_col, text_col), None
     for k in range(ROUNDS):
