@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import hashlib
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 from pathlib import PurePosixPath
 
 import numpy as np
@@ -41,6 +44,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What is run inside sends at most so many rows to Python at once: for rows that hold large values."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def written_bytes(df: DataFrame) -> int:
     """Bytes of the files behind a table that materialize() returned."""
     spark, jvm = df.sparkSession, df.sparkSession._jvm
@@ -69,6 +84,36 @@ def slim(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(*(F.col(f"`{c}`") for c in cols))
 
 
+#: Rows of a batch that become Python objects at once.
+SLICE = 1000
+
+
+def _give_back() -> None:
+    """Return what a task has freed to the system: Python workers live on, and many of them share a machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
+def arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, rows: int = SLICE) -> DataFrame:
+    """mapInArrow, a few rows at a time; a task gives its memory back when it ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(sliced(batches, rows))
+        finally:
+            _give_back()
+
+    return df.mapInArrow(run, schema)
+
+
 def per_batch(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str) -> DataFrame:
     """Apply f to every Arrow batch: map-side only, one batch in memory at a time."""
 
@@ -80,7 +125,7 @@ def per_batch(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBat
             else:
                 yield from out
 
-    return df.mapInArrow(run, schema)
+    return arrow(df, run, schema)
 
 
 def as_bytes(column: pa.Array) -> list[bytes | None]:

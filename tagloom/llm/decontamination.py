@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import as_bytes, materialize, slim, table
+from tagloom.llm.common import arrow, as_bytes, materialize, slim, table
 
 WINDOW, BLOCK_WORDS = 10, 500_000
 #: Bytes that are no part of a word become spaces; A-Z become a-z.
@@ -95,7 +95,7 @@ def build_index(docs: DataFrame, terms: dict[bytes, int], id_col: str = "doc_id"
                     column.append(x.astype(np.int32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in out)], ["id", "n_words", "terms", "ends", "positions", "digest"])
 
-    return slim(docs, id_col, text_col).mapInArrow(run, f"id {kind}, n_words long, terms binary, ends binary, positions binary, digest binary")
+    return arrow(slim(docs, id_col, text_col), run, f"id {kind}, n_words long, terms binary, ends binary, positions binary, digest binary")
 
 
 def frequencies(index: DataFrame, n_terms: int) -> np.ndarray:
@@ -109,7 +109,7 @@ def frequencies(index: DataFrame, n_terms: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["term", "n"])
 
     out = np.zeros(n_terms, np.int64)
-    for term, n in index.select("terms").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n")).collect():  # at most a row a term
+    for term, n in arrow(index.select("terms"), run, "term long, n long").groupBy("term").agg(F.sum("n")).collect():  # at most a row a term
         out[term] = n
     return out
 
@@ -206,7 +206,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
                     [batch.column(0), batch.column(1), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(items, pa.list_(pa.string())), batch.column(5)],
                     ["id", "n_words", "spans", "items", "digest"])
 
-        parts.append(index.mapInArrow(run, schema))
+        parts.append(arrow(index, run, schema))
     if not parts:
         return build_index(docs, {}, id_col, text_col).select(F.col("id").alias(id_col), "n_words", F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
     out = parts[0]
@@ -216,7 +216,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
             "id", "n_words", F.expr("case when s2 is null then spans else concat(spans, s2) end").alias("spans"),
             F.expr("case when i2 is null then items else array_sort(array_union(items, i2)) end").alias("items"), "digest")
     if len(parts) > 1:
-        out = out.mapInArrow(_merged, schema)
+        out = arrow(out, _merged, schema)
     return out.drop("digest").withColumnRenamed("id", id_col)
 
 
@@ -241,7 +241,7 @@ def proximity(docs: DataFrame, queries: list[str], span: int, id_col: str = "doc
             at = [(i, q, x.tolist()) for i, row in enumerate(zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)) for q, terms in plans if len(x := Postings(*row).near(terms, span))]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([x[0] for x in at], pa.int64())), pa.array([x[1] for x in at], pa.string()), pa.array([x[2] for x in at], pa.list_(pa.int32()))], ["id", "query", "positions"])
 
-    return index.mapInArrow(run, f"id {kind}, query string, positions array<int>").withColumnRenamed("id", id_col)
+    return arrow(index, run, f"id {kind}, query string, positions array<int>").withColumnRenamed("id", id_col)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

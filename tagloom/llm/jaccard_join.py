@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import as_bytes, if_small, materialize, mix64, slim, table
+from tagloom.llm.common import arrow, as_bytes, if_small, materialize, mix64, slim, small_batches, table
 from tagloom.llm.components import relabel
 from tagloom.llm.rolling import Rolling
 
@@ -40,7 +40,7 @@ LEAST_GROUPS, MOST_GROUPS, PER_GROUP, FEW = 64, 1 << 16, 8, 512
 HOT, HOT_LEAST = 2_000_000, 64
 LEAF, MANY, ROUNDS, MEMORY = 48, 40, 2, 500_000
 #: Counts that a tree may hold at once.
-CELLS = 8_000_000
+CELLS = 4_000_000
 #: Fixed odd factors that tell a shingle's places apart.
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
@@ -162,7 +162,7 @@ def read_points(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             k = len(keys[part])
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.nulls(k, kind), _signed(keys[part]), pa.array(counts[part]), pa.nulls(k, pa.binary())], names)
 
-    return slim(docs, id_col, text_col).mapInArrow(run, schema)
+    return arrow(slim(docs, id_col, text_col), run, schema)
 
 
 def regions(docs: DataFrame, hot: np.ndarray, id_col: str, text_col: str) -> DataFrame:
@@ -204,8 +204,9 @@ def regions(docs: DataFrame, hot: np.ndarray, id_col: str, text_col: str) -> Dat
             part = slice(i, i + 100_000)
             yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(sig[part]), pa.array(sid[part])], ["key", "sig", "sid"])
 
-    rows = slim(docs, text_col).mapInArrow(entries, "key long, sid long").repartition("key").mapInArrow(group, "key long, sig long, sid long")
-    rows = materialize(rows, "regions")
+    rows = arrow(arrow(slim(docs, text_col), entries, "key long, sid long").repartition("key"), group, "key long, sig long, sid long", rows=100_000)
+    with small_batches(docs.sparkSession, 2000):
+        rows = materialize(rows, "regions")
     first = rows.groupBy("sig").agg(F.min("key").alias("key"))
     return materialize(rows.join(first, ["sig", "key"]).select("key", "sid"), "regions")
 
@@ -341,7 +342,7 @@ def cross_pairs(rows: DataFrame, labels: DataFrame | None, points: DataFrame) ->
         if key is not None:
             yield joined(*held)
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
+    return arrow(rows.repartition("key").sortWithinPartitions("key"), run, "a long, b long").distinct()
 
 
 class Sets:
@@ -364,7 +365,8 @@ class Sets:
                 got = [(sid, s) for sid, t in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True) if len(s := shingles(t)) and set_id(s) == sid]
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.int64()), pa.array([s.tobytes() for _, s in got], pa.binary())], ["sid", "set"])
 
-        new = materialize(rows.mapInArrow(run, "sid long, set binary").dropDuplicates(["sid"]), "sets")
+        with small_batches(docs.sparkSession, 1000):
+            new = materialize(arrow(rows, run, "sid long, set binary").dropDuplicates(["sid"]), "sets")
         self.known = new if self.known is None else self.known.unionByName(new)
         return self.known
 
@@ -379,7 +381,7 @@ def verified(pairs: DataFrame, points: DataFrame, sets: Sets) -> DataFrame:
             ok = [could_link(Point(x), Point(y)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    pairs = sized.join(a.drop("na"), "a").join(b.drop("nb"), "b").select("a", "b", "pa", "pb").mapInArrow(bound, "a long, b long")
+    pairs = arrow(sized.join(a.drop("na"), "a").join(b.drop("nb"), "b").select("a", "b", "pa", "pb"), bound, "a long, b long")
     pairs = materialize(pairs, "pairs")
     known = sets.of(pairs)
     a, b = (known.select(F.col("sid").alias(x), F.col("set").alias(f"s{x}")) for x in "ab")
@@ -392,12 +394,14 @@ def verified(pairs: DataFrame, points: DataFrame, sets: Sets) -> DataFrame:
                 ok.append(7 * len(np.intersect1d(x, y, assume_unique=True)) >= 3 * (len(x) + len(y)))
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
+    with small_batches(pairs.sparkSession, 256):  # a row holds two whole sets
+        return materialize(arrow(pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb"), check, "a long, b long"), "linked")
 
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles and component_id of every row of docs."""
-    read = materialize(read_points(docs, id_col, text_col), "points")
+    with small_batches(docs.sparkSession, 2000):
+        read = materialize(read_points(docs, id_col, text_col), "points")
     rows = read.where("kind = 0")
     points = materialize(rows.where("n > 0").groupBy("sid").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("point").alias("point")), "points")
     entries = read.where("kind = 1")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import as_bytes, if_small, materialize, mix64, slim, table
+from tagloom.llm.common import arrow, as_bytes, if_small, materialize, mix64, slim, table
 from tagloom.llm.rolling import BASES, Rolling
 
 LENGTH, K = 200, 48
@@ -107,7 +107,7 @@ def splitters(texts: DataFrame, buckets: int) -> np.ndarray:
             keys = [_signed(anchors(t)[0])[::4] for t in as_bytes(batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64))], ["key"])
 
-    got = texts.where(F.pmod("tid", F.lit(many)) == 0).where(F.octet_length("text") < 1 << 20).select("text").mapInArrow(run, "key long").toArrow()["key"].to_numpy()
+    got = arrow(texts.where(F.pmod("tid", F.lit(many)) == 0).where(F.octet_length("text") < 1 << 20).select("text"), run, "key long").toArrow()["key"].to_numpy()
     got = np.sort(got)
     return got[(np.arange(1, buckets) * len(got)) // buckets] if len(got) else got
 
@@ -162,8 +162,8 @@ def arrange(texts: DataFrame) -> DataFrame:
                 part = at[i : i + 100_000]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int32)), *(pa.array(x[part]) for x in rows), pa.array(total[part])], ["kind", "key", "span", "tid", "pack", "n"])
 
-    rows = texts.mapInArrow(emit, f"{COLUMNS}, bucket int").repartitionById(n, F.col("bucket")).drop("bucket")
-    return materialize(rows.mapInArrow(sort, f"kind int, {COLUMNS}, n long"), "anchors")
+    rows = arrow(texts, emit, f"{COLUMNS}, bucket int").repartitionById(n, F.col("bucket")).drop("bucket")
+    return materialize(arrow(rows, sort, f"kind int, {COLUMNS}, n long", rows=100_000), "anchors")
 
 
 def across_boundaries(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -180,7 +180,7 @@ def across_boundaries(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
 def _spans_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """(key, tid, pack, bytes): the bytes of spans, from the texts that hold them."""
     own = materialize(wanted.groupBy("tid").agg(F.collect_list(F.struct("key", "pack")).alias("spans")).withColumnRenamed("tid", "own"), "wanted")
-    rows = texts.join(if_small(own), F.col("tid") == F.col("own")).select("tid", "text", "spans").mapInArrow(_cut, "key long, tid long, pack long, bytes binary")
+    rows = arrow(texts.join(if_small(own), F.col("tid") == F.col("own")).select("tid", "text", "spans"), _cut, "key long, tid long, pack long, bytes binary")
     return rows.dropDuplicates(["key", "tid", "pack"])
 
 
@@ -265,7 +265,7 @@ def compare(spans: DataFrame) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_arrays([*map(pa.array, _compared(held))], RUNS)
 
-    return spans.repartition("key").sortWithinPartitions("key").mapInArrow(run, "tid long, first long, last long")
+    return arrow(spans.repartition("key").sortWithinPartitions("key"), run, "tid long, first long, last long")
 
 
 def compare_large(spans: DataFrame) -> DataFrame:
@@ -281,7 +281,7 @@ def compare_large(spans: DataFrame) -> DataFrame:
                         column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], ["tid", "first", "digest"])
 
-    rows = materialize(spans.mapInArrow(run, "tid long, first long, digest binary"), "strings")
+    rows = materialize(arrow(spans, run, "tid long, first long, digest binary"), "strings")
     often = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return rows.join(often, "digest", "left_semi").select("tid", "first", F.col("first").alias("last"))
 
@@ -299,7 +299,7 @@ def covered(docs: DataFrame, text_col: str = "text") -> DataFrame:
     if many.limit(1).count():
         runs = runs.unionByName(compare_large(_spans_of(texts, many)))
     spans = runs.groupBy("tid").agg(F.collect_set(F.struct(F.col("first").alias("start"), (F.col("last") + LENGTH).alias("end"))).alias("spans"))
-    return materialize(spans.select(F.col("tid").alias("own"), "spans").mapInArrow(_merged, "own long, spans array<struct<start:long,end:long>>"), "covered")
+    return materialize(arrow(spans.select(F.col("tid").alias("own"), "spans"), _merged, "own long, spans array<struct<start:long,end:long>>"), "covered")
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,7 +342,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), _span_array(spans), pa.array(kept, pa.binary())], [id_col, "n_bytes", "spans", "kept"])
 
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    return arrow(rows, run, f"`{id_col}` {kind}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

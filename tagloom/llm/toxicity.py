@@ -37,7 +37,7 @@ LEVELS = np.array([0.3, 0.5, 0.7, 0.9])
 #: A feature needs this many toxic examples.
 LEAST = 4
 STEPS, RATE, DECAY = 300, 0.05, 1e-4
-MEMORY = 1_000_000
+MEMORY = 300_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
