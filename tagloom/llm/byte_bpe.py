@@ -143,8 +143,8 @@ class PrefixTable:
 class Codec:
     """Encodes and decodes texts. ids are kept as text, joined by one space."""
 
-    def __init__(self, merges: Merges, pattern: str):
-        self.merges, self.split = merges, regex.compile(pattern).findall
+    def __init__(self, merges: Merges, pattern: str, memory: int = MEMORY):
+        self.merges, self.split, self.memory = merges, regex.compile(pattern).findall, memory
         self.names = {str(n): t for n, t in merges.token_bytes.items()}
         self.pieces: dict[str, str] = {}
         self.spaced: dict[str, str] = {}
@@ -159,7 +159,7 @@ class Codec:
         if len(data) > SHORT:
             return " ".join(map(str, PrefixTable(self.merges, data).ids()))
         known = self.prefixes
-        if len(known) > 4 * MEMORY:
+        if len(known) > 4 * self.memory:
             known.clear()
             self.borders.clear()
         end = len(data)
@@ -192,7 +192,7 @@ class Codec:
 
     def _pieces(self, text: str) -> str:
         known, out = self.pieces, []
-        if len(known) > MEMORY:
+        if len(known) > self.memory:
             known.clear()
         for p in self.split(text):
             if (x := known.get(p)) is None:
@@ -206,7 +206,7 @@ class Codec:
         # every space starts a new match here, so that each space-led word can be encoded on its own
         spaced = self.spaced
         head, *words = text.split(" ")
-        if len(spaced) > MEMORY:
+        if len(spaced) > self.memory:
             self.before, self.spaced = spaced, {}
             spaced = self.spaced
         out = [self._pieces(head)] if head else []
@@ -228,14 +228,14 @@ def _merges(path: str) -> Merges:
     return Merges(read_ranks(path))
 
 
-def _codec_maker(spark: SparkSession, path: str, pattern: str) -> Callable[[], Codec]:
+def _codec_maker(spark: SparkSession, path: str, pattern: str, memory: int = MEMORY) -> Callable[[], Codec]:
     """A function that gives the codec of a Python worker. The driver reads the rank file; its tables are broadcast (fixed size)."""
     sent = spark.sparkContext.broadcast(_merges(path))
     held: list[Codec] = []
 
     def codec() -> Codec:
         if not held:
-            held.append(Codec(sent.value, pattern))
+            held.append(Codec(sent.value, pattern, memory))
             gc.set_threshold(1_000_000)  # large tables without cycles: collecting them over and over finds nothing
         return held[0]
 
@@ -246,9 +246,9 @@ def _texts(column: pa.Array) -> Iterable[str]:
     return ("" if t is None else t.decode("utf-8", "replace") for t in as_bytes(column))
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and `ids` (array<int>) of every row."""
-    codec = _codec_maker(docs.sparkSession, path, pattern)
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", memory: int = MEMORY) -> DataFrame:
+    """id and `ids` (array<int>) of every row. memory: words that a task remembers."""
+    codec = _codec_maker(docs.sparkSession, path, pattern, memory)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
