@@ -39,7 +39,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and ids of every document."""
-    out = byte_bpe.encode(docs, *byte_bpe.public_vocabulary())
+    out = byte_bpe.encode(docs, *byte_bpe.public_vocabulary(), memory=80_000)  # executors still hold what earlier stages used
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
