@@ -75,38 +75,52 @@ def frequent_digests(digests: DataFrame, counters: int = COUNTERS) -> list[bytes
     return [k for k, n in Counter(held).most_common(counters) if n > 1]
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
-    """One row per row of docs: id, digest (binary), n (rows with equal text), keep (id of the row that stays), kept."""
-    spark, text = docs.sparkSession, F.col(f"`{text_col}`")
-    rows = materialize(
+def _digests(docs: DataFrame, id_col: str, text_col: str, rid: Column) -> DataFrame:
+    text = F.col(f"`{text_col}`")
+    return materialize(
         docs.select(
             F.col(f"`{id_col}`").alias("id"),
             F.unhex(F.sha2(normalised(text).cast("binary"), 256)).alias("digest"),
             F.length(F.coalesce(text, F.lit(""))).alias("len"),
-            F.monotonically_increasing_id().alias("rid"),  # fixed by being written: tells repeated rows apart
+            rid.alias("rid"),
         ),
         "digests",
     )
+
+
+def _decide(rows: DataFrame, counters: int) -> DataFrame:
+    """rid, id, digest, n, keep, kept, and spare (the first rid of the group's rows without id) of every row that _digests() gave."""
+    spark = rows.sparkSession
     best = F.min(F.struct((-F.col("len")).alias("neg_len"), F.col("id").isNull().alias("no_id"), "id", "rid")).alias("best")
+    no_id = F.min(F.when(F.col("id").isNull(), F.col("rid")))
     candidates = spark.createDataFrame([(bytearray(x),) for x in frequent_digests(rows, counters)], "digest binary")
-    found = rows.join(F.broadcast(candidates), "digest").groupBy("digest").agg(F.count(F.lit(1)).alias("n"), best).where("n > 1")
+    found = rows.join(F.broadcast(candidates), "digest").groupBy("digest").agg(F.count(F.lit(1)).alias("n"), best, no_id.alias("spare")).where("n > 1")
     kind = rows.schema["id"].dataType.simpleString()
     winners = F.broadcast(spark.createDataFrame(  # at most `counters` rows
-        [(r.digest, r.n, r.best.id, r.best.rid) for r in found.collect()], f"digest binary, n long, keep {kind}, keep_rid long"))
-    hot = rows.join(winners, "digest").select("id", "digest", "n", "keep", (F.col("rid") == F.col("keep_rid")).alias("kept"))
+        [(r.digest, r.n, r.best.id, r.best.rid, r.spare) for r in found.collect()], f"digest binary, n long, keep {kind}, keep_rid long, spare long"))
+    hot = rows.join(winners, "digest").select("rid", "id", "digest", "n", "keep", (F.col("rid") == F.col("keep_rid")).alias("kept"), "spare")
     group = Window.partitionBy("digest")
     order = group.orderBy(F.desc("len"), F.asc_nulls_last("id"), "rid")
     cold = rows.join(winners.select("digest"), "digest", "left_anti").select(
-        "id", "digest", F.count(F.lit(1)).over(group).alias("n"), F.first("id").over(order).alias("keep"), (F.row_number().over(order) == 1).alias("kept"))
+        "rid", "id", "digest", F.count(F.lit(1)).over(group).alias("n"), F.first("id").over(order).alias("keep"), (F.row_number().over(order) == 1).alias("kept"), no_id.over(group).alias("spare"))
     return hot.unionByName(cold)
 
 
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
+    """One row per row of docs: id, digest (binary), n (rows with equal text), keep (id of the row that stays), kept."""
+    rows = _digests(docs, id_col, text_col, F.monotonically_increasing_id())  # fixed by being written: tells repeated rows apart
+    return _decide(rows, counters).drop("rid", "spare")
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
-    """The rows of docs that stay, with all columns of docs. Rows that share an id share its fate, so repeated rows all
-    stay if one does; rows with a null id are never dropped, as no decision can be carried to them."""
-    groups = exact_groups(docs, id_col, text_col, counters)
-    gone = materialize(groups.where(~F.col("kept") & ~F.col("id").eqNullSafe(F.col("keep"))).select(F.col("id").alias("__gone")).distinct(), "gone")
-    return docs.join(if_small(gone), F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
+    """The rows of docs that stay, with all columns of docs: one row of each group, the one that exact_groups() keeps. The
+    decision is a row's own, so of repeated rows one stays, and rows that share an id but not a text do not share its fate.
+    Beside a kept row that has an id, one row without id stays, too."""
+    numbered = materialize(docs.withColumn("__rid", F.monotonically_increasing_id()), "numbered")
+    rows = _decide(_digests(numbered, id_col, text_col, F.col("__rid")), counters)
+    stays = F.col("kept") | (F.col("id").isNull() & F.col("keep").isNotNull() & (F.col("rid") == F.col("spare")))
+    gone = materialize(rows.where(~stays).select(F.col("rid").alias("__rid")), "gone")
+    return numbered.join(if_small(gone), "__rid", "left_anti").drop("__rid")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -421,9 +421,15 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id names their component, with all their columns. Rows with a null id stay."""
-    gone = materialize(jaccard_groups(docs, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct(), "gone")
-    return docs.join(if_small(gone), F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
+    """One row of docs of each component, the one of the smallest id (null last; then the first such row), with all its columns.
+    Decided by row: rows that share an id but no component do not share its fate."""
+    numbered = materialize(docs.withColumn("__rid", F.monotonically_increasing_id()), "numbered")
+    groups = materialize(jaccard_groups(numbered, "__rid", text_col).select("__rid", "component_id"), "groups")
+    rows = groups.join(slim(numbered, id_col, "__rid").withColumnRenamed(id_col, "id"), "__rid")  # not by component: no group meets in one task
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "__rid")).alias("first")
+    stays = rows.groupBy("component_id").agg(first).select(F.col("first.__rid").alias("__rid"))
+    gone = materialize(groups.select("__rid").join(stays, "__rid", "left_anti"), "gone")
+    return numbered.join(if_small(gone), "__rid", "left_anti").drop("__rid")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

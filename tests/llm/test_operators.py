@@ -73,6 +73,13 @@ def test_exact(spark, mixed):
     assert {r.doc_id for r in left.collect()} == {min(v)[3] for v in groups.values()} | {None}
 
 
+def test_exact_dedup_decides_by_row(spark):
+    texts = [(1, "again")] * 60 + [(3, "three"), (5, "three"), (5, "only here"), (None, "no id"), (None, "no id"), (7, "near")] + [(None, "near")] * 3
+    for counters in (2, 1000):
+        left = Counter((r.doc_id, r.text) for r in exact_dedup.exact_dedup(documents(spark, texts), counters=counters).collect())
+        assert left == Counter([(1, "again"), (3, "three"), (5, "only here"), (None, "no id"), (7, "near"), (None, "near")])
+
+
 def test_misra_gries_holds_what_is_frequent():
     rng = random.Random(1)
     items = [b"hot"] * 400 + [bytes([rng.randrange(256), rng.randrange(256)]) for _ in range(900)]
@@ -153,6 +160,14 @@ def test_jaccard(spark, mixed):
     assert left == set(want)
 
 
+def test_jaccard_keeps_one_row(spark):
+    base = [f"w{k}" for k in range(60)]
+    near, other = " ".join([*base, "x"]), " ".join(f"v{k}" for k in range(60))
+    texts = [(9, near), (3, " ".join(base)), (5, near + " y"), (5, other), (None, near), (3, " ".join(base)), (6, ""), (6, "")]
+    left = Counter((r.doc_id, r.text) for r in jaccard_join.keep_one(documents(spark, texts)).collect())
+    assert left == Counter([(3, " ".join(base)), (5, other), (6, ""), (6, "")])
+
+
 def test_jaccard_with_frequent_shingles_last(spark, mixed, monkeypatch):
     monkeypatch.setattr(jaccard_join, "HOT_LEAST", 1)
     monkeypatch.setattr(jaccard_join, "LEAF", 3)
