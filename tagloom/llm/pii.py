@@ -2,16 +2,19 @@
 
 Strict patterns with checks (the base) give spans that always stay. Looser generators propose further, overlapping
 candidates: forms that a base pattern swallows in a longer match and then drops, or misses for want of a sign. Boosted
-trees score a candidate by format and context; a threshold of its kind, calibrated on candidates of another fold for the
-precision PRECISION, selects. The teacher is the base: a candidate inside a base span of its kind is an example for, any other one against;
-no feature tells the sign that the base insists on, so the same form is recognised without it. A selected candidate is added unless
-it overlaps a base span or one that was added before it (higher scores first, then earlier and longer ones).
+trees of its kind score a candidate by format and context; a threshold of its kind, calibrated on candidates of another fold for the
+precision PRECISION, selects. A candidate inside a base span of its kind that passes the kind's check is an example for, one outside that
+fails it (Luhn, octets, number of digits) is one against. All others are not labelled: that the base misses a form says nothing against
+it, so neither trees nor thresholds depend on how many of them there are. Forms of emails and phones cannot fail, so for them
+PRECISION is held against nothing of their own kind. No feature tells the sign that the base insists on, so the same form is
+recognised without it. A selected candidate that passes its check is added unless it overlaps a base span or one that was added
+before it (higher scores first, then earlier and longer ones).
 
 Training sees a table of counts by feature values (a few thousand cells at most, whatever the input), summed over all
 candidates of the corpus; the trees become one SQL expression. Texts are read once.
 
 Edge cases: null counts as empty and has no spans; rows without id are scored as others; repeated rows get a row each;
-without candidates of both classes nothing is added; texts of any length are processed whole (patterns cannot backtrack past a run).
+a kind of which the held-out fold has fewer than LEAST examples for gets nothing added; texts of any length are processed whole (patterns cannot backtrack past a run).
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ BASE = {
 }
 #: Looser forms, each with its kind.
 GENERATORS = [
-    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[\[(](?:dot|DOT)[\])])\x20?[A-Za-z0-9-]++)++"),
+    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]++(?:(?:\.|\x20\.\x20?|\x20?[\[(](?:dot|DOT)[\])]\x20?)[A-Za-z0-9-]++)++"),
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"),
     ("ip", r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"),
     ("ip", r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9])"),
@@ -49,6 +52,7 @@ GENERATORS = [
 MAY_HAVE = {"email": r"@|[\[(](?:at|AT)[\])]", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20.-]?[0-9]){12}", "phone": r"\+[0-9]|[0-9]{3}[)\x20.-]"}
 WORDS = r"(?i)(?:tel|phone|call|fax|mobil|mail|contact|card|visa|account|ip|addr|host|server)"
 FEATURES = ["kind", "luhn", "octets", "digits", "letters", "paren", "dash", "dot", "space", "before", "after", "word"]
+FIELDS = ["kind", "start", "end", "luhn", "octets", "digits", "ok", *FEATURES[4:]]
 FOLDS, HELD_OUT = 4, 0
 TREES, RATE, LEAST, PRECISION, SURE = 24, 0.3, 4, 0.95, 0.9
 
@@ -127,7 +131,7 @@ def _describe(text: Column, k: int) -> Callable[[Column], Column]:
         ahead = F.substring(text, F.greatest(m["start"] - 23, F.lit(1)), F.least(m["start"], F.lit(24)))
         values = {
             "kind": F.lit(k), "start": m["start"], "end": m["end"], "luhn": luhn(x), "octets": octets(x), "digits": F.least(F.length(digits(x)), F.lit(20)),
-            "letters": x.rlike("[A-Za-z]"), "paren": F.contains(x, F.lit("(")), "dash": F.contains(x, F.lit("-")), "dot": F.contains(x, F.lit(".")), "space": F.contains(x, F.lit(" ")),
+            "ok": valid(KINDS[k], x), "letters": x.rlike("[A-Za-z]"), "paren": F.contains(x, F.lit("(")), "dash": F.contains(x, F.lit("-")), "dot": F.contains(x, F.lit(".")), "space": F.contains(x, F.lit(" ")),
             "before": _char(F.when(m["start"] > 0, F.substring(text, m["start"], F.lit(1))).otherwise("")), "after": _char(F.substring(text, m["end"] + 1, F.lit(1))), "word": ahead.rlike(WORDS),
         }
         return F.struct(*(v.cast("int").alias(n) for n, v in values.items()))
@@ -136,8 +140,8 @@ def _describe(text: Column, k: int) -> Callable[[Column], Column]:
 
 
 def candidates(text: Column) -> Column:
-    """Array of (kind, start, end, and the other FEATURES) by generator."""
-    empty = "struct<" + ",".join(f"{x}:int" for x in ["kind", "start", "end", *FEATURES[1:]]) + ">"
+    """Array of (kind, start, end, ok: passes the check of its kind, and the other FEATURES) by generator."""
+    empty = "struct<" + ",".join(f"{x}:int" for x in FIELDS) + ">"
     return F.array_distinct(F.concat(*(
         F.when(text.rlike(MAY_HAVE[kind]), F.transform(matches(text, pattern), _describe(text, KINDS.index(kind)))).otherwise(_none(empty))
         for kind, pattern in GENERATORS)))
@@ -194,7 +198,7 @@ def _grow(rows: list[tuple[tuple[int, ...], float, float]], depth: int) -> Split
 
 @dataclass
 class Model:
-    """Boosted trees of depth three for the logistic loss, from the log-odds of all examples on."""
+    """Boosted trees of depth three for the logistic loss, from the log-odds of all examples (one more of each class) on."""
 
     start: float
     trees: list[Split]
@@ -207,11 +211,13 @@ class Model:
 
 
 def boost(cells: list[Cell]) -> Model | None:
-    """None without examples of both classes."""
+    """None without examples for; without any against, no trees."""
     total, right = sum(n for _, n, _ in cells), sum(y for _, _, y in cells)
-    if not 0 < right < total:
+    if not right:
         return None
-    model = Model(math.log(right / (total - right)), [])
+    model = Model(math.log((right + 1) / (total - right + 1)), [])
+    if right == total:
+        return model
     scores = [model.start] * len(cells)
     for _ in range(TREES):
         rows = []
@@ -226,11 +232,11 @@ def boost(cells: list[Cell]) -> Model | None:
     return model
 
 
-def calibrate(model: Model, cells: list[Cell]) -> list[float]:
-    """For each kind the least score, of probability SURE or more, from which on PRECISION of the candidates are examples for; infinite if none is."""
+def calibrate(models: list[Model | None], cells: list[Cell]) -> list[float]:
+    """For each kind the least score, of probability SURE or more, from which on PRECISION of the candidates are examples for; infinite if none is. models: by kind."""
     out = []
-    for k in range(len(KINDS)):
-        scored = sorted(((model.of(x), n, y) for x, n, y in cells if x[0] == k), reverse=True)
+    for k, model in enumerate(models):
+        scored = sorted(((model.of(x), n, y) for x, n, y in cells if x[0] == k), reverse=True) if model else []
         least, total, right = math.inf, 0, 0
         for i, (s, n, y) in enumerate(scored):
             total, right = total + n, right + y
@@ -243,16 +249,18 @@ def calibrate(model: Model, cells: list[Cell]) -> list[float]:
 def _learn(found: DataFrame) -> tuple[str, str] | None:
     """SQL for the score of a candidate `c` and for whether it is selected; None if nothing is."""
     inside = F.exists("base", lambda b: (b["kind"] == F.col("c.kind")) & (b["start"] <= F.col("c.start")) & (b["end"] >= F.col("c.end")))
+    ok = F.col("c.ok") == 1
+    label = F.when(inside & ok, 1).when(~inside & ~ok, 0).cast("long")
     rows = found.select("fold", "base", F.explode("candidates").alias("c")).select(
-        (F.col("fold") == HELD_OUT).alias("held"), *(F.col(f"c.{x}") for x in FEATURES), inside.cast("long").alias("y"))
+        (F.col("fold") == HELD_OUT).alias("held"), *(F.col(f"c.{x}") for x in FEATURES), label.alias("y")).where("y IS NOT NULL")
     cells = rows.groupBy("held", *FEATURES).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y")).collect()  # bounded by the features' values
     by = {held: sorted((tuple(r[x] for x in FEATURES), r["n"], r["y"]) for r in cells if r["held"] == held) for held in (False, True)}
-    model = boost(by[False])
-    chosen = [(k, x) for k, x in enumerate(calibrate(model, by[True])) if x < math.inf] if model else []
-    if not model or not chosen:
+    models = [boost([c for c in by[False] if c[0][0] == k]) for k in range(len(KINDS))]  # what fails a check of one kind says nothing of another
+    chosen = [(k, x) for k, x in enumerate(calibrate(models, by[True])) if x < math.inf]
+    if not chosen:
         return None
-    score = model.sql()
-    return score, f"{score} >= CASE c.kind " + " ".join(f"WHEN {k} THEN {x - 1e-4:.6f}D" for k, x in chosen) + " ELSE double('Infinity') END"
+    score = "CASE c.kind " + " ".join(f"WHEN {k} THEN {models[k].sql()}" for k, _ in chosen) + " ELSE double('-Infinity') END"
+    return score, f"c.ok = 1 AND {score} >= CASE c.kind " + " ".join(f"WHEN {k} THEN {x - 1e-4:.6f}D" for k, x in chosen) + " ELSE double('Infinity') END"
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -340,6 +340,21 @@ def test_pii(spark):
     assert df.select(pii.redact(pii.F.col("text"), pii.F.col("spans")).alias("x")).first().x == "x [EMAIL], [PHONE]!"
 
 
+@pytest.mark.parametrize("bad", [0, 90])
+def test_pii_adds_forms_that_the_base_often_misses(spark, bad):
+    card = "4111111111111112"  # fails its check
+    texts = [f"call {sign}(755) 555-97{i:02d} now, mail ann@host{i}.com" for i in range(80) for sign in ("+1 ", "")]
+    forms = [("ask 555-123-4567.", "555-123-4567", 3), ("ask john (at) host.com. Then", "john (at) host.com", 0), ("ask john [at] host [dot] com", "john [at] host [dot] com", 0)]
+    n = len(texts)
+    texts += [f[0] for f in forms] * 30 + [f"pay {card} or look (at) home. Then 300.1.2.3"] * bad
+    got = by_id(pii.personal_data(documents(spark, texts)))
+    for i in range(1, n, 2):
+        assert (3, 5, 19) in [tuple(s) for s in got[i].spans]
+    for i, (text, form, kind) in enumerate(forms * 30):
+        assert [tuple(s) for s in got[n + i].spans] == [(kind, text.index(form), text.index(form) + len(form))]
+    assert all(not got[i].spans for i in range(n + 90, len(texts)))
+
+
 # learnt operators
 
 def test_toxicity(spark):
