@@ -1,6 +1,6 @@
 """From documents to token ids: five stages, each one operator of tagloom.llm.
 
-Each stage takes all that the one before it kept and returns the columns of documents; the last returns token ids.
+Each stage takes all that the one before it kept and returns the columns of documents; the last returns token ids and what they decode to.
 No SQL can express the whole (a classifier is trained in it), so it is tested against a plain version instead.
 """
 
@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tagloom.llm import byte_bpe, decontamination, exact_dedup, jaccard_join, toxicity
 from tagloom.llm.common import materialize, table
@@ -38,9 +37,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and ids of every document."""
-    out = byte_bpe.encode(docs, *byte_bpe.public_vocabulary(), memory=80_000)  # executors still hold what earlier stages used
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """doc_id, n_tokens and ids of every document, and the digest of the bytes that the ids decode to."""
+    return byte_bpe.round_trip(docs, *byte_bpe.public_vocabulary(), memory=80_000)  # executors still hold what earlier stages used
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -289,6 +289,23 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
     return per_batch(slim(docs, id_col, text_col), run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", memory: int = MEMORY) -> DataFrame:
+    """Encode every row, decode the ids again, and return id, n_tokens, ids (array<int>) and the digest of the decoded bytes."""
+    codec = _codec_maker(docs.sparkSession, path, pattern, memory)
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        c, ids, digest = codec(), [], []
+        for t in _texts(batch.column(1)):
+            s = c.encode(t)
+            ids.append(np.array(s.split(" "), np.int32) if s else np.empty(0, np.int32))
+            digest.append(hashlib.sha256(c.decode(s)).hexdigest())
+        n = pa.array([len(x) for x in ids], pa.int64())
+        return pa.RecordBatch.from_arrays([batch.column(0), n, pa.array(ids, pa.list_(pa.int32())), pa.array(digest, pa.string())], [id_col, "n_tokens", "ids", "decoded_sha256"])
+
+    return per_batch(slim(docs, id_col, text_col), run, f"`{id_col}` {kind}, n_tokens long, ids array<int>, decoded_sha256 string")
+
+
 def public_vocabulary() -> tuple[str, str]:
     """Path of the ranks and pattern that the query uses."""
     import public_tokenizers

@@ -57,3 +57,13 @@ def test_pipeline(spark, db):
     assert {r.doc_id for r in got} == clean
     assert all(r.n_tokens == len(r.ids) for r in got)
     assert [n for n, _ in corpus_pipeline.STAGES] and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_pipeline_decodes_its_tokens(spark):
+    import hashlib
+
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "a b\u00e9 \U0001f600"), (2, ""), (3, None), (4, "the cat  sat\n")], "doc_id long, text string")
+    want = {r.doc_id: hashlib.sha256((r.text or "").encode()).hexdigest() for r in docs.collect()}
+    assert {r.doc_id: r.decoded_sha256 for r in corpus_pipeline.STAGES[-1][1](spark, docs, DATA).collect()} == want
