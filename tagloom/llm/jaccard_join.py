@@ -6,14 +6,17 @@ corner bound it for all points of the box. Texts link when 7 * overlap >= 3 * (s
 
 The tree is distributed. Its upper level fans out by shingle: two linked sets share one of the first
 n - ceil(0.75 n) + 1 shingles of each in any common order, so a point belongs to the regions of these shingles only, and every
-linked pair meets in a region. The order is by hash, with frequent shingles last: they are found by a Misra-Gries
-summary over all prefixes (at most HOT of them, a proven bound), so that common passages make few and small regions.
+linked pair meets in a region. The order is by frequency, rare shingles first, so that common passages make few and small
+regions: every shingle of every text is counted in a table of 2**BITS cells (a fixed size), whose levels are sent to all
+tasks. Shingles that share a cell only come later than they could, so the order costs no link. A place in that order
+bounds the overlap, too: what comes before the common shingle in one set and what comes behind it in the other is not shared.
 Regions with the same members are one region. Below, each region has an R-tree of its own, joined with itself by pruning pairs of boxes.
 
 Copies count once: texts with the same set are one point. Groups of near copies do not become pairs either: first every region links its
 members to one of them (two rounds, each followed by connected components), then only members of different
 components are compared, so a region whose members are all connected is never entered. All surviving pairs are verified on the
-whole sets. The result is exact: a pair of different components that could link is always compared.
+whole sets. The result is exact: a pair of different components that could link is always compared, and sets are told
+apart by 128 bits (by 64 in the rounds, after those that clash there have been given other numbers).
 
 Edge cases: null texts and texts without words have no shingles and link with nothing; fewer than five words are one
 shingle; repeated rows and copies share a component; a null id takes part but is no component's name unless all its ids are null.
@@ -36,9 +39,9 @@ from tagloom.llm.rolling import Rolling
 N = 5
 #: Groups of a point, see point().
 LEAST_GROUPS, MOST_GROUPS, PER_GROUP, FEW = 64, 1 << 16, 8, 512
-#: Frequent shingles that are put last, and the fewest regions' members that make one frequent.
-HOT, HOT_LEAST = 2_000_000, 64
-LEAF, MANY, ROUNDS, MEMORY = 48, 40, 2, 500_000
+#: Cells of the table of frequencies, as a power of two; parts in which it is summed; levels of a doubling.
+BITS, PARTS, LEVELS = 22, 64, 4
+LEAF, MANY, ROUNDS, MEMORY = 48, 40, 1, 500_000
 #: Counts that a tree may hold at once.
 CELLS = 4_000_000
 #: Fixed odd factors that tell a shingle's places apart.
@@ -64,8 +67,21 @@ def shingles(text: bytes | None) -> np.ndarray:
     return np.unique(mix64(s))
 
 
-def set_id(s: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+def set_id(s: np.ndarray) -> tuple[int, int]:
+    """128 bits, as two numbers."""
+    d = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+
+
+class Names:
+    """The number of a set in the rounds: its first 64 bits, or the other 64 where the first ones are those of several sets."""
+
+    def __init__(self, clashes: frozenset[int] = frozenset()):
+        self.clashes = clashes
+
+    def of(self, s: np.ndarray) -> int:
+        first, other = set_id(s)
+        return other if first in self.clashes else first
 
 
 def point(s: np.ndarray) -> bytes:
@@ -110,24 +126,58 @@ def could_link(a: Point, b: Point) -> bool:
     return 7 * int(shared) >= 3 * (a.n + b.n)
 
 
-def prefix(s: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """The first n - ceil(0.75 n) + 1 shingles; hot ones, ascending, come last."""
+def prefix(s: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """The first n - ceil(0.75 n) + 1 shingles by level, then by hash."""
     n = len(s) - -(-3 * len(s) // 4) + 1
-    if len(hot) and len(s):
-        last = hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] == s
-        if last[:n].any():
-            s = np.concatenate([s[~last], s[last]])
-    return s[:n]
+    rank = levels[cells(s)].astype(np.uint64) << np.uint64(56) | s >> np.uint64(8)
+    first = np.argpartition(rank, n - 1)[:n] if n < len(s) else np.arange(len(s))
+    return s[first[np.argsort(rank[first], kind="stable")]]
+
+
+def cells(s: np.ndarray) -> np.ndarray:
+    """The cell of each shingle: bits that points do not use for their groups."""
+    return (s & np.uint64((1 << BITS) - 1)).astype(np.int64)
+
+
+class Counts:
+    """How often each cell was met by a task; a count stops at what a byte holds, as the most frequent come last anyhow."""
+
+    def __init__(self) -> None:
+        self.total, self.held, self.size = np.zeros(1 << BITS, np.uint32), [], 0
+
+    def add(self, s: np.ndarray) -> None:
+        self.held.append(cells(s).astype(np.int32))
+        self.size += len(s)
+        if self.size > 1 << BITS:
+            self._count()
+
+    def _count(self) -> None:
+        if self.held:
+            self.total += np.bincount(np.concatenate(self.held), minlength=1 << BITS).astype(np.uint32)
+            self.held, self.size = [], 0
+
+    def parts(self) -> list[bytes]:
+        self._count()
+        return [x.tobytes() if x.any() else b"" for x in np.minimum(self.total, 255).astype(np.uint8).reshape(PARTS, -1)]
+
 
+def frequency_levels(counts: DataFrame) -> np.ndarray:
+    """The level of each cell, from rows (sid: part, point: counts). The driver gets a byte a cell."""
 
-def _summary(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Misra-Gries over arrays: add up, then subtract what keeps at most HOT keys."""
-    keys, at = np.unique(keys, return_inverse=True)
-    counts = np.bincount(at, counts, minlength=len(keys)).astype(np.int64)
-    if len(keys) > HOT:
-        counts -= np.partition(counts, len(keys) - HOT - 1)[len(keys) - HOT - 1]
-        keys, counts = keys[counts > 0], counts[counts > 0]
-    return keys, counts
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x = np.frombuffer(data, np.uint8)
+                total[part] = total[part] + x if part in total else x.astype(np.int64)
+        levels = [np.minimum(255, np.rint(LEVELS * np.log2(1 + x))).astype(np.uint8).tobytes() for x in total.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(levels, pa.binary())], ["part", "levels"])
+
+    with small_batches(counts.sparkSession, 64):  # a row holds a part of a table
+        out = np.zeros((PARTS, (1 << BITS) // PARTS), np.uint8)
+        for part, data in arrow(counts.select("sid", "point").repartition(PARTS, "sid"), run, "part long, levels binary").collect():  # PARTS rows
+            out[part] = np.frombuffer(data, np.uint8)
+    return out.ravel()
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -135,80 +185,88 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def read_points(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per row of docs (kind 0: id, sid, n, point), and each task's summary of prefix shingles (kind 1: sid is the shingle, n its count)."""
+    """One row per row of docs (kind 0: id, sid and other, n, point), and each task's counts of shingles (kind 1: sid is the part, point its counts)."""
     id_type = docs.schema[id_col].dataType
-    schema = f"kind int, id {id_type.simpleString()}, sid long, n long, point binary"
-    names = ["kind", "id", "sid", "n", "point"]
+    schema = f"kind int, id {id_type.simpleString()}, sid long, other long, n long, point binary"
+    names = ["kind", "id", "sid", "other", "n", "point"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, kind = np.empty(0, np.uint64), np.empty(0, np.int64), None
+        counts, kind, seen = Counts(), None, set()
         for batch in batches:
             kind = batch.column(0).type
-            sid, n, points, seen, own = [], [], [], set(), [keys]
+            sid, other, n, points = [], [], [], []
+            if len(seen) > MEMORY:
+                seen.clear()
             for text in as_bytes(batch.column(1)):
                 s = shingles(text)
+                first, second = set_id(s)
+                sid.append(first)
+                other.append(second)
                 n.append(len(s))
-                sid.append(set_id(s))
                 points.append(point(s) if len(s) else b"")
-                if len(s) and sid[-1] not in seen:
-                    seen.add(sid[-1])
-                    own.append(prefix(s, s[:0]))
-            new = np.concatenate(own[1:]) if len(own) > 1 else keys[:0]
-            keys, counts = _summary(np.concatenate([keys, new]), np.concatenate([counts, np.ones(len(new), np.int64)]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), batch.column(0), pa.array(sid, pa.int64()), pa.array(n, pa.int64()), pa.array(points, pa.binary())], names)
-        keys, counts = keys[counts > 1], counts[counts > 1]  # what a task holds once is left in place: right there too
-        for i in range(0, len(keys), 50_000):
-            part = slice(i, i + 50_000)
-            k = len(keys[part])
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.nulls(k, kind), _signed(keys[part]), pa.array(counts[part]), pa.nulls(k, pa.binary())], names)
+                if len(s) and first not in seen:
+                    seen.add(first)  # copies in a task count once
+                    counts.add(s)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), batch.column(0), *(pa.array(x, pa.int64()) for x in (sid, other, n)), pa.array(points, pa.binary())], names)
+        if kind is None:
+            return
+        parts = [(i, x) for i, x in enumerate(counts.parts()) if x]
+        for i in range(0, len(parts), 8):
+            some = parts[i : i + 8]
+            none = pa.nulls(len(some), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([1] * len(some), pa.int32()), pa.nulls(len(some), kind), pa.array([x for x, _ in some], pa.int64()), none, none, pa.array([x for _, x in some], pa.binary())], names)
 
     return arrow(slim(docs, id_col, text_col), run, schema)
 
 
-def regions(docs: DataFrame, hot: np.ndarray, id_col: str, text_col: str) -> DataFrame:
-    """(key, sid) of regions with two members or more, no two regions with the same members."""
-    sent = docs.sparkSession.sparkContext.broadcast(hot)
+def regions(docs: DataFrame, levels: np.ndarray, names: Names, id_col: str, text_col: str) -> DataFrame:
+    """(key, sid, at) of regions with two members or more, no two regions with the same members; at is the place of key in the set's order."""
+    sent = docs.sparkSession.sparkContext.broadcast(levels)  # a byte a cell
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # copies in a task count once
         for batch in batches:
-            keys, sids = [], []
+            keys, sids, places = [], [], []
             if len(seen) > MEMORY:
                 seen.clear()
             for text in as_bytes(batch.column(0)):
                 s = shingles(text)
-                if len(s) and (sid := set_id(s)) not in seen:
+                if len(s) and (sid := names.of(s)) not in seen:
                     seen.add(sid)
                     keys.append(prefix(s, sent.value))
                     sids.append(np.full(len(keys[-1]), sid, np.int64))
+                    places.append(np.arange(len(keys[-1]), dtype=np.int32))
             if keys:
-                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(keys)), pa.array(np.concatenate(sids))], ["key", "sid"])
+                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(keys)), *(pa.array(np.concatenate(x)) for x in (sids, places))], ["key", "sid", "at"])
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        got = [[b.column(i).to_numpy() for i in range(3)] for b in batches]
         if not got:
             return
-        key, sid = (np.concatenate(x) for x in zip(*got, strict=True))
+        key, sid, at = (np.concatenate(x) for x in zip(*got, strict=True))
         order = np.lexsort((sid, key))
-        key, sid = key[order], sid[order]
+        key, sid, at = key[order], sid[order], at[order]
         fresh = np.append(True, (key[1:] != key[:-1]) | (sid[1:] != sid[:-1]))
-        key, sid = key[fresh], sid[fresh]
+        key, sid, at = key[fresh], sid[fresh], at[fresh]
         start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         size = np.diff(np.append(start, len(key)))
-        sig = np.add.reduceat(mix64(sid.view(np.uint64)), start).view(np.int64)
+        # 128 bits that depend on the members only
+        sigs = [np.add.reduceat(mix64(sid.view(np.uint64) ^ FACTORS[k]), start).view(np.int64) for k in range(2)]
+        order = np.lexsort((*sigs, size))
+        like = np.append(False, np.all([x[order][1:] == x[order][:-1] for x in (size, *sigs)], 0))
         keep = np.zeros(len(start), bool)
-        keep[np.unique(np.where(size > 1, sig, 0), return_index=True)[1]] = True
+        keep[order[~like]] = True
         rows = np.repeat(keep & (size > 1), size)
-        key, sid, sig = key[rows], sid[rows], np.repeat(sig, size)[rows]
-        for i in range(0, len(key), 100_000):
-            part = slice(i, i + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(sig[part]), pa.array(sid[part])], ["key", "sig", "sid"])
+        out = [key, *(np.repeat(x, size) for x in sigs), sid, at]
+        out = [x[rows] for x in out]
+        for i in range(0, len(out[0]), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in out], ["key", "sig", "sig2", "sid", "at"])
 
-    rows = arrow(arrow(slim(docs, text_col), entries, "key long, sid long").repartition("key"), group, "key long, sig long, sid long", rows=100_000)
+    rows = arrow(arrow(slim(docs, text_col), entries, "key long, sid long, at int").repartition("key"), group, "key long, sig long, sig2 long, sid long, at int", rows=100_000)
     with small_batches(docs.sparkSession, 2000):
         rows = materialize(rows, "regions")
-    first = rows.groupBy("sig").agg(F.min("key").alias("key"))
-    return materialize(rows.join(first, ["sig", "key"]).select("key", "sid"), "regions")
+    first = rows.groupBy("sig", "sig2").agg(F.min("key").alias("key"))
+    return materialize(rows.join(first, ["sig", "sig2", "key"]).select("key", "sid", "at"), "regions")
 
 
 class Box:
@@ -231,8 +289,8 @@ class Box:
 class Tree:
     """The R-tree of a region's points, and its join with itself."""
 
-    def __init__(self, points: list[Point], comp: np.ndarray):
-        self.points, self.comp = points, comp
+    def __init__(self, points: list[Point], comp: np.ndarray, at: np.ndarray):
+        self.points, self.comp, self.at = points, comp, at
         self.low = np.array([p.low for p in points]).astype(np.int32)
         self.n = self.low.sum(1)
         self.listed = np.array([p.listed for p in points])
@@ -262,7 +320,10 @@ class Tree:
         ok = (4 * self.n[i] >= 3 * self.n[j]) & (4 * self.n[j] >= 3 * self.n[i]) & (self.comp[i] != self.comp[j])
         if a is b:
             ok &= i < j
-        x, y = np.nonzero(ok)
+        # shared at most: before the common shingle, itself, and behind it
+        shared = np.minimum(self.at[i], self.at[j]) + np.minimum(self.n[i] - self.at[i], self.n[j] - self.at[j])
+        x, y = np.nonzero(ok & (7 * shared >= 3 * (self.n[i] + self.n[j])))
+        ok[:] = False
         shared = np.minimum(self.low[a.order[x]], self.low[b.order[y]]).sum(1)
         ok[x, y] = 7 * shared >= 3 * (self.n[a.order[x]] + self.n[b.order[y]])
         x, y = np.nonzero(ok)
@@ -301,41 +362,46 @@ def _with_labels(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def star_pairs(rows: DataFrame, labels: DataFrame | None, salt: int) -> DataFrame:
-    """(a, b): a member of each region's largest component, and every member outside of it."""
+    """(a, b): a member of each region's largest component, and every member outside of it.
+
+    In the first round the member is the one with the fewest rare shingles before the region's: of texts that were edited in many ways, the one that most others are near to.
+    """
     rows = _with_labels(rows, labels)
-    parts = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64("sid", F.lit(salt)).alias("h"), "sid"))["sid"].alias("pivot"))
-    best = parts.groupBy("key").agg(F.max(F.struct("size", (-F.xxhash64("comp", F.lit(salt)).cast("double")).alias("h"), "comp", "pivot")).alias("best"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    pairs = rows.join(best.select("key", "best.*").withColumnRenamed("comp", "of").drop("size", "h"), "key").where("comp <> of")
+    near = F.lit(0) if salt else F.col("at")
+    parts = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(near.alias("near"), F.xxhash64("sid", F.lit(salt)).alias("h"), "sid")).alias("least"))
+    order = F.struct("size", (-F.col("least.near")).alias("near"), (-F.xxhash64("comp", F.lit(salt)).cast("double")).alias("h"), "comp", F.col("least.sid").alias("pivot"))
+    best = parts.groupBy("key").agg(F.max(order).alias("best"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    pairs = rows.join(best.select("key", "best.*").withColumnRenamed("comp", "of").drop("size", "near", "h"), "key").where("comp <> of")
     return pairs.select(F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b")).distinct()
 
 
 def cross_pairs(rows: DataFrame, labels: DataFrame | None, points: DataFrame) -> DataFrame:
     """(a, b): all pairs of different components that share a region and may link, by each region's R-tree.
 
-    A pair may share many regions, so only the coarse counts are compared here (for small sets, the fine ones too); verified() compares the fine ones once.
+    A pair may share many regions, so only places and coarse counts are compared here (for small sets, the fine ones too); verified() compares the fine ones once.
     """
     rows = _with_labels(rows, labels)
     mixed = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
     coarse = points.select("sid", F.when(F.col("n") > FEW, F.substring("point", 1, 4 * LEAST_GROUPS)).otherwise(F.col("point")).alias("point"))
-    rows = rows.join(mixed, "key").join(coarse, "sid").select("key", "sid", "comp", "point")
+    rows = rows.join(mixed, "key").join(coarse, "sid").select("key", "sid", "comp", "point", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def joined(sid: list[int], comp: list[int], data: list[bytes]) -> pa.RecordBatch:
+        def joined(sid: list[int], comp: list[int], data: list[bytes], at: list[int]) -> pa.RecordBatch:
             _, comps = np.unique(np.array(comp, np.int64), return_inverse=True)
-            got = [np.empty((2, 0), np.int64), *map(np.stack, Tree([Point(p) for p in data], comps).pairs())]
+            got = [np.empty((2, 0), np.int64), *map(np.stack, Tree([Point(p) for p in data], comps, np.array(at, np.int64)).pairs())]
             a, b = np.array(sid, np.int64)[np.concatenate(got, 1)]
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-        key, held = None, ([], [], [])
+        key, held = None, ([], [], [], [])
         for batch in batches:
-            k, *rest = (batch.column(i) for i in range(4))
+            k, *rest = (batch.column(i) for i in range(5))
             k, rest = k.to_numpy(), [x.to_pylist() for x in rest]
             cuts = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)]
             for lo, hi in zip(cuts, cuts[1:], strict=False):
                 if hi > lo:
                     if key is not None and k[lo] != key:
                         yield joined(*held)
-                        held = ([], [], [])
+                        held = ([], [], [], [])
                     key = k[lo]
                     for h, x in zip(held, rest, strict=True):
                         h += x[lo:hi]
@@ -348,8 +414,8 @@ def cross_pairs(rows: DataFrame, labels: DataFrame | None, points: DataFrame) ->
 class Sets:
     """The sets of the points that pairs ask for, read again from the texts and kept."""
 
-    def __init__(self, docs: DataFrame, points: DataFrame, id_col: str, text_col: str):
-        self.docs, self.points, self.id_col, self.text_col = docs, points, id_col, text_col
+    def __init__(self, docs: DataFrame, points: DataFrame, names: Names, id_col: str, text_col: str):
+        self.docs, self.points, self.names, self.id_col, self.text_col = docs, points, names, id_col, text_col
         self.known: DataFrame | None = None
 
     def of(self, pairs: DataFrame) -> DataFrame:
@@ -357,12 +423,12 @@ class Sets:
         if self.known is not None:
             ids = ids.join(self.known.select("sid"), "sid", "left_anti")
         ids = materialize(self.points.join(ids, "sid").select(F.col("id").alias("__id"), "sid"), "ids")
-        docs, id_col, text_col = self.docs, self.id_col, self.text_col
+        docs, names, id_col, text_col = self.docs, self.names, self.id_col, self.text_col
         rows = slim(docs, id_col, text_col).join(if_small(ids), F.col(id_col).eqNullSafe(F.col("__id"))).select("sid", text_col)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                got = [(sid, s) for sid, t in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True) if len(s := shingles(t)) and set_id(s) == sid]
+                got = [(sid, s) for sid, t in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True) if len(s := shingles(t)) and names.of(s) == sid]
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.int64()), pa.array([s.tobytes() for _, s in got], pa.binary())], ["sid", "set"])
 
         with small_batches(docs.sparkSession, 1000):
@@ -398,17 +464,31 @@ def verified(pairs: DataFrame, points: DataFrame, sets: Sets) -> DataFrame:
         return materialize(arrow(pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb"), check, "a long, b long"), "linked")
 
 
+def _named_points(rows: DataFrame) -> tuple[DataFrame, DataFrame, Names]:
+    """Rows and different points, with numbers that no two sets share. Clashes of 64 bits are a handful even among 10**11 sets."""
+
+    def different(rows: DataFrame) -> DataFrame:
+        found = rows.where("n > 0").groupBy("sid").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("point").alias("point"), (F.min("other") != F.max("other")).alias("clash"))
+        return materialize(found, "points")
+
+    points = different(rows)
+    clashes = frozenset(r.sid for r in points.where("clash").select("sid").collect())
+    if clashes:
+        rows = rows.withColumn("sid", F.when(F.col("sid").isin(*clashes), F.col("other")).otherwise(F.col("sid")))
+        points = different(rows)
+        if points.where("clash").limit(1).count():
+            raise ValueError("two sets share both halves' numbers")
+    return rows, points.drop("clash"), Names(clashes)
+
+
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles and component_id of every row of docs."""
     with small_batches(docs.sparkSession, 2000):
         read = materialize(read_points(docs, id_col, text_col), "points")
-    rows = read.where("kind = 0")
-    points = materialize(rows.where("n > 0").groupBy("sid").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("point").alias("point")), "points")
-    entries = read.where("kind = 1")
-    often = entries.groupBy(F.col("sid").alias("key")).agg(F.sum("n").alias("n")).where(F.col("n") > HOT_LEAST).orderBy(F.desc("n"), "key").limit(HOT)
-    hot = np.sort(often.select("key").toArrow()["key"].to_numpy().astype(np.int64).view(np.uint64))  # at most HOT numbers
-    members = regions(docs, hot, id_col, text_col)
-    sets, labels = Sets(docs, points, id_col, text_col), None
+    rows, points, names = _named_points(read.where("kind = 0"))
+    levels = frequency_levels(read.where("kind = 1"))
+    members = regions(docs, levels, names, id_col, text_col)
+    sets, labels = Sets(docs, points, names, id_col, text_col), None
     for k in range(ROUNDS):
         labels = relabel(labels, verified(star_pairs(members, labels, k), points, sets))
     labels = relabel(labels, verified(cross_pairs(members, labels, points), points, sets))

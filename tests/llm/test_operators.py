@@ -168,14 +168,43 @@ def test_jaccard_keeps_one_row(spark):
     assert left == Counter([(3, " ".join(base)), (5, other), (6, ""), (6, "")])
 
 
-def test_jaccard_with_frequent_shingles_last(spark, mixed, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "HOT_LEAST", 1)
-    monkeypatch.setattr(jaccard_join, "LEAF", 3)
-    monkeypatch.setattr(jaccard_join, "MANY", 0)
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_jaccard_in_any_order_of_shingles(spark, mixed, rounds, monkeypatch):
+    cells = 1 << jaccard_join.BITS
+    monkeypatch.setattr(jaccard_join, "frequency_levels", lambda counts: jaccard_join.np.random.default_rng(3).integers(0, 256, cells).astype("u1"))
+    monkeypatch.setattr(jaccard_join, "ROUNDS", rounds)
     got = by_id(jaccard_join.jaccard_groups(documents(spark, mixed)))
     assert [got[i].component_id for i in range(len(mixed))] == plain_components(plain_sets(mixed))
 
 
+def test_region_trees_find_every_link():
+    rng = random.Random(12)
+    base = [str(k) for k in range(90)]
+    sets = []
+    for _ in range(150):  # more points than a leaf holds
+        t = list(base)
+        for _ in range(rng.randint(0, 9)):
+            t[rng.randrange(90)] = rng.choice("xyz")
+        sets.append(jaccard_join.shingles(" ".join(t).encode()))
+    sets = [s for s in sets if sets[0][0] in s]
+    at = jaccard_join.np.array([int((s < sets[0][0]).sum()) for s in sets])  # ordered by hash
+    tree = jaccard_join.Tree([jaccard_join.Point(jaccard_join.point(s)) for s in sets], jaccard_join.np.arange(len(sets)), at)
+    found = {(min(a, b), max(a, b)) for x, y in tree.pairs() for a, b in zip(x.tolist(), y.tolist(), strict=True)}
+    both = lambda a, b: len(jaccard_join.np.intersect1d(sets[a], sets[b]))
+    links = {(a, b) for b in range(len(sets)) for a in range(b) if 7 * both(a, b) >= 3 * (len(sets[a]) + len(sets[b]))}
+    assert len(sets) > 60 and links and links <= found
+
+
+def test_sets_whose_first_bits_clash(spark):
+    rows = spark.createDataFrame([(1, 5, 10, 3, b"a"), (2, 5, 11, 4, b"b"), (3, 5, 10, 3, b"a"), (4, 6, 12, 2, b"c"), (5, 7, 1, 0, b"")], "id long, sid long, other long, n long, point binary")
+    rows, points, names = jaccard_join._named_points(rows)
+    assert sorted((r.id, r.sid) for r in rows.collect()) == [(1, 10), (2, 11), (3, 10), (4, 6), (5, 7)]
+    assert sorted((r.sid, r.id, r.n) for r in points.collect()) == [(6, 4, 2), (10, 1, 3), (11, 2, 4)]
+    s = jaccard_join.shingles(b"some text")
+    first, other = jaccard_join.set_id(s)
+    assert names.clashes == {5} and names.of(s) == first and jaccard_join.Names(frozenset([first])).of(s) == other
+
+
 def test_points_bound_the_overlap():
     rng = random.Random(5)
     for n in (3, 60, 511, 513, 900, 3000):
