@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tagloom.functions.text import NAME, SPACE, unescape
+from tagloom.functions.text import NAME, SPACE, trim, unescape
 from tagloom.schema import ParserOptions
 
 _DECLARED = r'(?:xmlns(?::[a-zA-Z0-9_.-]+)?)="[^"]*"'
@@ -24,7 +24,8 @@ def _quoted(x: Column) -> Column:
 
 
 def _name(x: Column) -> Column:
-    return F.regexp_extract(x, rf"^{NAME}+", 0)
+    """What stands before the equals sign: of an attribute that a pattern has found, a name."""
+    return trim(F.substring_index(x, "=", 1))
 
 
 def _declares(name: Column) -> Column:
@@ -37,9 +38,12 @@ def attributes(text: Column, options: ParserOptions) -> Column:
     def decoded(x: Column) -> Column:
         return unescape(x, options.entities, options.decode_entities)
 
+    none = F.array().cast("array<struct<name:string,value:string,declares:string>>")
     if options.dialect == "stream":
-        return F.transform(F.regexp_extract_all(text, F.lit(_STREAM), F.lit(0)), lambda m: _entry(_name(m), decoded(_quoted(m)), _declares(_name(m))))
+        found = F.transform(F.regexp_extract_all(text, F.lit(_STREAM), F.lit(0)), lambda m: _entry(_name(m), decoded(_quoted(m)), _declares(_name(m))))
+        return F.when(text == "", none).otherwise(found)
     declared = F.transform(F.regexp_extract_all(text, F.lit(_DECLARED), F.lit(0)), lambda m: _entry(_name(m), _quoted(m), _declares(_name(m))))
+    declared = F.when(F.contains(text, F.lit("xmlns")), declared).otherwise(none)
     found = F.filter(F.regexp_extract_all(text, F.lit(_SYNC), F.lit(0)), lambda m: ~F.startswith(m, F.lit("xmlns")))
     plain = F.transform(found, lambda m: _entry(_name(m), F.when(F.coalesce(_quoted(m), F.lit("")) == "", F.lit("true")).otherwise(decoded(_quoted(m))), F.lit(None).cast("string")))
-    return F.concat(declared, plain)
+    return F.when(text == "", none).otherwise(F.concat(declared, plain))

@@ -14,13 +14,16 @@ ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'"}
 NAME = "[a-zA-Z0-9_:.-]"
 
 
+_SPACES = "\t\n\x0b\f\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def trim(x: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(x, rf"^[{SPACE}]++|[{SPACE}]++\z", "")
+    return F.btrim(x, F.lit(_SPACES))
 
 
 def is_blank(x: Column) -> Column:
-    return ~x.rlike(rf"[^{SPACE}]")
+    return F.ltrim(x, F.lit(_SPACES)) == ""
 
 
 def _one_pass(x: Column, table: dict[str, str]) -> Column:

@@ -8,9 +8,10 @@ from typing import Any
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
+from tagloom.schema import EVENTS
 from tagloom.streaming.incremental import parse
 
-_SCHEMA = "seq bigint, type string, name string, local_name string, prefix string, uri string, attributes map<string,string>, value string, error string, depth int, node_id bigint, parent_id bigint"
+_SCHEMA = EVENTS.removeprefix("doc_id bigint, ")
 _NAMES = [c.split()[0] for c in _SCHEMA.split(", ")]
 
 

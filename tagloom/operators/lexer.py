@@ -13,6 +13,8 @@ PATTERNS: dict[Dialect, str] = {
     "sync": _COMMON + r"""</[^>]*>|<!DOCTYPE[^>]*>|<(?![!?/])(?:[^'">]++|"[^"]*+"|'[^']*+')*+>|[^<]+|<""",
     "stream": _COMMON + r"<(?!!--|!\[CDATA\[|\?)[^>]*>|[^<]+|<",
 }
+#: An element that has nothing but text, and no attributes: one token, so that fewer rows are sorted.
+LEAVES: dict[Dialect, str] = {"sync": rf"""<([^<>/!?'"{SPACE}]++)>[^<]*+</\1>|""", "stream": rf"<({NAME}++)>[^<]*+</\1>|"}
 TEXT, START, END, RAW, SKIP, OPEN = "text", "start", "end", "cdata", "skip", "open"
 #: Rows that every document has, before and after its pieces.
 FIRST, LAST = "first", "last"
@@ -25,7 +27,7 @@ def lex(xml: Column, dialect: Dialect) -> Column:
 
 def kind(piece: Column, dialect: Dialect) -> Column:
     """What a piece is; OPEN is a `<` whose markup does not end."""
-    skip = piece.rlike("^<!--|^<\\?") | (F.startswith(piece, F.lit("<!DOCTYPE")) if dialect == "sync" else F.lit(False))
+    skip = F.startswith(piece, F.lit("<!--")) | F.startswith(piece, F.lit("<?")) | (F.startswith(piece, F.lit("<!DOCTYPE")) if dialect == "sync" else F.lit(False))
     return (
         F.when(~F.startswith(piece, F.lit("<")), TEXT).when(piece == "<", OPEN).when(F.startswith(piece, F.lit("<![CDATA[")), RAW)
         .when(skip, SKIP).when(F.startswith(piece, F.lit("</")), END).otherwise(START)
@@ -48,21 +50,28 @@ _STREAM_END = rf"^</({NAME}+)[{SPACE}]*>\z"
 
 
 def tokens(docs: DataFrame, options: ParserOptions, id_col: str = "doc_id", xml_col: str = "xml") -> DataFrame:
-    """(doc_id, at, piece, kind, name, attrs, closed, fault): fault is the error that the token is by itself."""
+    """(doc_id, at, piece, kind, name, attrs, closed, inner, fault): inner is the text of an element that is one token (which is closed,
+    then), fault the error that the token is by itself."""
     d = options.dialect
     # documents move, not their tokens: what follows keeps this partitioning
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{xml_col}`"), F.lit("")).alias("xml")).repartition("doc_id")
-    pieces = F.concat(F.array(F.lit(None).cast("string")), lex(F.col("xml"), d), F.array(F.lit(None).cast("string")))
+    found = F.regexp_extract_all(F.col("xml"), F.lit(LEAVES[d] + PATTERNS[d]), F.lit(0))
+    pieces = F.concat(F.array(F.lit(None).cast("string")), found, F.array(F.lit(None).cast("string")))
     rows = rows.select("doc_id", F.posexplode(pieces).alias("at", "piece"))
     rows = rows.withColumn("kind", F.when(F.col("piece").isNotNull(), kind(F.col("piece"), d)).when(F.col("at") == 0, FIRST).otherwise(LAST)).where(F.col("kind") != SKIP)
     piece, k = F.col("piece"), F.col("kind")
+    # no other start tag has a `>` before its end but in quotes
+    head = F.substring_index(piece, ">", 1)
+    leaf = (k == START) & (F.octet_length(head) + 1 < F.octet_length(piece)) & ~F.contains(head, F.lit('"')) & ~F.contains(head, F.lit("'"))
+    own = F.substring(head, F.lit(2), F.length(head))
+    inner = F.substring(piece, F.length(head) + 2, F.length(piece) - 2 * F.length(head) - 3)
     if d == "sync":
         name, attrs, closed = _sync_tag(piece, options.strict)
         end_name, fault = trim(F.substring(piece, F.lit(3), F.length(piece) - 3)), F.lit(None).cast("string")
     else:
         name, attrs, closed = F.regexp_extract(piece, _STREAM_START, 1), F.regexp_extract(piece, _STREAM_START, 2), F.regexp_extract(piece, _STREAM_START, 3) == "/"
         end_name = F.regexp_extract(piece, _STREAM_END, 1)
-        fault = F.when((k == START) & ~piece.rlike(_STREAM_START), "Malformed start tag").when((k == END) & ~piece.rlike(_STREAM_END), "Malformed closing tag")
+        fault = F.when((k == START) & ~leaf & ~piece.rlike(_STREAM_START), "Malformed start tag").when((k == END) & ~piece.rlike(_STREAM_END), "Malformed closing tag")
     return rows.select(
-        "doc_id", F.col("at").cast("long").alias("at"), "piece", "kind", F.when(k == START, name).when(k == END, end_name).alias("name"),
-        F.when(k == START, attrs).alias("attrs"), F.coalesce((k == START) & closed, F.lit(False)).alias("closed"), fault.alias("fault"))
+        "doc_id", F.col("at").cast("long").alias("at"), "piece", "kind", F.when(leaf, own).when(k == START, name).when(k == END, end_name).alias("name"),
+        F.when(leaf, "").when(k == START, attrs).alias("attrs"), F.coalesce(leaf | (k == START) & closed, F.lit(False)).alias("closed"), F.when(leaf, inner).alias("inner"), fault.alias("fault"))

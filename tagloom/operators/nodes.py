@@ -56,7 +56,7 @@ def nodes(events: DataFrame) -> DataFrame:
     """One row an element: doc_id, node_id, parent_id, depth, names, attributes, text (its own, in order), ordinal among its parent's elements, children."""
     inside = events.where(F.col("node_id").isNotNull())
     start = F.col("type") == S.START_ELEMENT
-    own = inside.groupBy("doc_id", "node_id").agg(
+    own = inside.where(start | _is_text()).groupBy("doc_id", "node_id").agg(
         F.first("parent_id").alias("parent_id"), F.first("depth").alias("depth"),
         *(F.any_value(F.when(start, F.col(c)), True).alias(c) for c in ("name", "local_name", "prefix", "uri", "attributes")),
         _joined(F.collect_list(F.when(_is_text(), F.struct("seq", "value")))).alias("text"))
@@ -84,8 +84,10 @@ def records(events: DataFrame, record: str, fields: dict[str, str]) -> DataFrame
     A field names a child, whose text it takes (the first child of that name; null without one), or `@attribute` of the record.
     """
     start = F.col("type") == S.START_ELEMENT
-    peers = Window.partitionBy("doc_id", "depth").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    rows = events.where(F.col("node_id").isNotNull()).withColumn("element", F.last(F.when(start, F.col("name")), True).over(peers))
+    rows = events.where(F.col("node_id").isNotNull())
+    if "element" not in events.columns:
+        peers = Window.partitionBy("doc_id", "depth").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+        rows = rows.withColumn("element", F.last(F.when(start, F.col("name")), True).over(peers))
     head = start & (F.col("name") == record)
     rows = rows.withColumn("record", F.when(head, F.col("node_id")).otherwise(F.col("parent_id"))).where("record is not null")
     out = [F.max(head).alias("is_record")]
@@ -93,13 +95,16 @@ def records(events: DataFrame, record: str, fields: dict[str, str]) -> DataFrame
         if path.startswith("@"):
             out.append(F.any_value(F.when(head, F.element_at("attributes", F.lit(path[1:]))), True).alias(column))
         else:
-            child = (F.col("element") == path) & ~head & (start | _is_text())
-            found = F.array_sort(F.collect_list(F.when(child, F.struct("seq", "node_id", F.coalesce("value", F.lit("")).alias("value")))))
-            out.append(found.alias(column))
-    rows = rows.groupBy("doc_id", "record").agg(*out).where("is_record")
+            child = (F.col("element") == path) & ~head
+            out.append(F.min(F.when(child & start, F.col("node_id"))).alias(f"{column}__first"))
+            out.append(F.collect_list(F.when(child & _is_text(), F.struct("seq", "node_id", "value"))).alias(column))
+    rows = rows.where(start | _is_text()).groupBy("doc_id", "record").agg(*out).where("is_record")
 
     def text(c: str) -> Column:
-        first = F.get(F.col(c), F.lit(0))["node_id"]
-        return F.when(F.size(c) > 0, F.array_join(F.transform(F.filter(c, lambda x: x["node_id"] == first), lambda x: x["value"]), "")).alias(c)
+        first = F.col(f"{c}__first")
+        own = F.filter(c, lambda x: x["node_id"] == first)
+        joined = F.array_join(F.transform(F.array_sort(own), lambda x: x["value"]), "")
+        only = F.get(F.col(c), F.lit(0))
+        return F.when(first.isNotNull(), F.when((F.size(c) == 1) & (only["node_id"] == first), only["value"]).otherwise(joined)).alias(c)
 
     return rows.select("doc_id", F.col("record").alias("node_id"), *(F.col(c) if p.startswith("@") else text(c) for c, p in fields.items()))

@@ -22,7 +22,7 @@ def _resolved(rows: DataFrame, options: ParserOptions) -> DataFrame:
     """Tags with uri, and their attributes with local name, prefix and uri."""
     tags = rows.where(F.col("kind").isin(START, END))
     peers = Window.partitionBy("doc_id", "level").orderBy("at")
-    ends = F.first(F.when(F.col("kind") == END, F.col("at")), ignorenulls=True).over(peers.rowsBetween(1, Window.unboundedFollowing))
+    ends = F.lead(F.when(F.col("kind") == END, F.col("at"))).over(peers)  # the tag behind an open start tag on its level ends it
     tags = tags.withColumn("until", F.when(F.col("closed"), F.col("at")).otherwise(F.coalesce(ends, F.lit(1 << 60))))
     sub = (lambda i: i) if options.dialect == "stream" else (lambda i: F.lit(-1))
     each = tags.where(F.size("attrs") > 0).select("doc_id", "at", "until", F.posexplode("attrs").alias("i", "a"))
@@ -59,7 +59,7 @@ def parse_xml(docs: DataFrame, options: ParserOptions = ParserOptions(), id_col:
 
     A document that is not well-formed has the events before its first error, then an ERROR row, and no END_DOCUMENT.
     depth counts the elements around an event (its own included, for tags); node_id is the seq of the element's start tag, for text of the
-    element around it; parent_id is that of the element one level up, null for roots. A null document is an empty one. A binary column is decoded by options.encoding.
+    element around it, element that one's name; parent_id is that of the element one level up, null for roots. A null document is an empty one. A binary column is decoded by options.encoding.
     """
     if docs.schema[xml_col].dataType.typeName() == "binary":
         docs = docs.withColumn(xml_col, decoded(F.col(f"`{xml_col}`"), options.encoding))
@@ -71,49 +71,41 @@ def parse_xml(docs: DataFrame, options: ParserOptions = ParserOptions(), id_col:
 
 
 def _parse(docs: DataFrame, options: ParserOptions, resolve: bool, id_col: str, xml_col: str) -> DataFrame:
-    rows = structure.cut(structure.faults(structure.levels(tokens(docs, options, id_col, xml_col)), options))
+    rows, stream = tokens(docs, options, id_col, xml_col), options.dialect == "stream"
+    is_text, raw = F.col("kind") == TEXT, F.coalesce("inner", "piece")
+    value = unescape(raw if stream else trim(raw), options.entities, options.decode_entities)
+    blank = F.when(is_text | F.col("inner").isNotNull(), is_blank(value if stream else raw)).alias("blank")
+    if stream:
+        order = ["run", "class", "at"]
+        rows = structure.text_runs(structure.levels(rows)).select("*", blank)
+        rows = rows.withColumn("seq", structure.events_before(*order))
+    else:
+        order = ["at"]
+        rows = structure.levels(rows.select("*", blank), structure.events_before(*order).alias("seq"))
+    rows = structure.cut(structure.faults(structure.placed(rows, *order), options))
     failed = F.col("fault").isNotNull()
     rows = rows.withColumn("kind", F.when(failed & (F.col("fault") == ""), LAST).when(failed, _FAILED).otherwise(F.col("kind")))
+    rows = rows.where(~(is_text & F.col("blank")))
+    # what costs more than a look at the text comes last: no sort carries it, and nothing is computed that is not asked for
     rows = rows.withColumn("attrs", F.when(F.col("kind") == START, attributes(F.col("attrs"), options)))
-    rows = structure.text_runs(rows) if options.dialect == "stream" else rows.withColumn("run", F.col("at")).withColumn("class", F.lit(0))
     rows = _resolved(rows, options) if resolve else rows.withColumn("uri", F.lit(None).cast("string"))
-    is_text = F.col("kind") == TEXT
-    if options.dialect == "sync":
-        value, blank = unescape(trim(F.col("piece")), options.entities, options.decode_entities), is_blank(F.col("piece"))
-    else:
-        value = unescape(F.col("piece"), options.entities, options.decode_entities)
-        blank = is_blank(value)
-    rows = rows.where(~(is_text & blank))
     none, tag = F.lit(None).cast("string"), F.col("kind").isin(START, END)
     kinds = {FIRST: S.START_DOCUMENT, LAST: S.END_DOCUMENT, _FAILED: S.ERROR, START: S.START_ELEMENT, END: S.END_ELEMENT, RAW: S.CDATA, TEXT: S.CHARACTERS}
     kind = F
     for k, v in kinds.items():
         kind = kind.when(F.col("kind") == k, F.lit(v))
     entries = F.map_from_entries(last_wins(F.transform("attrs", lambda a: F.struct(a["name"].alias("name"), a["value"].alias("value")))))
-    both = F.array(F.lit(0), F.lit(1))
-    rows = rows.withColumn("type", kind).withColumn("sub", F.explode(F.when(F.col("closed") & (F.col("kind") == START), both).otherwise(F.array(F.lit(0)))))
+    # events of a token: its own, the text and the end of an element that is one token
+    own, text, end = (F.lit(x) for x in range(3))
+    parts = F.when(~F.col("closed") | (F.col("kind") != START), F.array(own)).when(F.coalesce("blank", F.lit(True)), F.array(own, end)).otherwise(F.array(own, text, end))
+    rows = rows.withColumn("type", kind).select("*", F.posexplode(parts).alias("more", "sub"))
     start = (F.col("kind") == START) & (F.col("sub") == 0)
-    rows = rows.select(
-        "doc_id", "run", "class", "at", "sub", F.when(F.col("sub") == 1, S.END_ELEMENT).otherwise(F.col("type")).alias("type"),
+    tag, is_text, inside = tag & (F.col("sub") != 1), is_text | (F.col("sub") == 1), tag | is_text | (F.col("kind") == RAW)
+    return rows.select(
+        "doc_id", (F.col("seq") + F.col("more")).alias("seq"), F.when(F.col("sub") == 1, S.CHARACTERS).when(F.col("sub") == 2, S.END_ELEMENT).otherwise(F.col("type")).alias("type"),
         F.when(tag, F.col("name")).alias("name"), F.when(tag, local_of(F.col("name"))).alias("local_name"), F.when(tag, prefix_of(F.col("name"))).alias("prefix"),
         F.when(tag, F.col("uri")).alias("uri"), F.when(start, entries).alias("attributes"), F.when(start, _infos(options, resolve)).alias("attributes_with_prefix"),
         F.when(F.col("kind") == RAW, F.substring("piece", F.lit(10), F.length("piece") - 12)).when(is_text, value).alias("value"),
-        F.when(F.col("kind") == _FAILED, F.col("fault")).alias("error"), F.when(tag | is_text | (F.col("kind") == RAW), F.col("level")).otherwise(0).alias("depth"))
-    return _numbered(rows)
-
-
-def _numbered(rows: DataFrame) -> DataFrame:
-    """With seq, node_id and parent_id."""
-    rows = rows.withColumn("seq", F.row_number().over(Window.partitionBy("doc_id").orderBy("run", "class", "at", "sub")).cast("long") - 1)
-    is_start = F.col("type") == S.START_ELEMENT
-    # a start tag shows itself on the lane of its level, and every event asks on the lane above its own: the last one there is around it
-    rows = rows.withColumn("ask", F.explode(F.when(is_start, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))))
-    rows = rows.withColumn("lane", F.col("depth") - F.col("ask"))
-    lanes = Window.partitionBy("doc_id", "lane").orderBy("seq", "ask").rowsBetween(Window.unboundedPreceding, 0)
-    shown = F.last(F.when(F.col("ask") == 0, F.col("seq")), ignorenulls=True).over(lanes)
-    rows = rows.withColumn("parent_id", F.when(F.col("lane") > 0, shown)).where("ask = 1")
-    peers = Window.partitionBy("doc_id", "depth").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    node = F.last(F.when(is_start, F.col("seq")), ignorenulls=True).over(peers)
-    return rows.withColumn("node_id", F.when(F.col("depth") > 0, node)).select(
-        "doc_id", "seq", "type", "name", "local_name", "prefix", "uri", "attributes", "attributes_with_prefix", "value", "error",
-        F.col("depth").cast("int").alias("depth"), "node_id", "parent_id")
+        F.when(F.col("kind") == _FAILED, F.col("fault")).alias("error"), F.when(inside, F.col("level")).otherwise(0).cast("int").alias("depth"),
+        F.when(inside & (F.col("level") > 0), F.col("node_id")).alias("node_id"), F.when(inside & (F.col("level") > 1), F.col("parent_id")).alias("parent_id"),
+        F.when(inside & (F.col("level") > 0), F.col("element")).alias("element"))

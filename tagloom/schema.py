@@ -18,7 +18,7 @@ ATTRIBUTE_INFO = "struct<value:string,local_name:string,prefix:string,uri:string
 EVENTS = (
     "doc_id bigint, seq bigint, type string, name string, local_name string, prefix string, uri string, "
     f"attributes map<string,string>, attributes_with_prefix map<string,{ATTRIBUTE_INFO}>, value string, error string, "
-    "depth int, node_id bigint, parent_id bigint"
+    "depth int, node_id bigint, parent_id bigint, element string"
 )
 
 
