@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from tempfile import gettempdir
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +40,14 @@ def chunks(docs: DataFrame, size: int, id_col: str = "doc_id", xml_col: str = "x
     return rows.select("doc_id", F.col("i").cast("long").alias("chunk_seq"), F.substring("data", F.col("i") * size + 1, F.lit(size)).alias("bytes"), (F.col("i") == F.col("n") - 1).alias("is_last"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir, for files that driver and executors share. Only where all run in one process may that be unset."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{(at or gettempdir()).rstrip('/')}/tagloom-{uuid4().hex}"
+
+
 def read_chunk_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
     """A stream of chunk rows from Parquet files."""
     return spark.readStream.schema(CHUNKS).option("maxFilesPerTrigger", files_per_trigger).parquet(path)

@@ -1,7 +1,8 @@
 """Events of documents that arrive in chunks: a stateful stream operator for the stream dialect.
 
 State is cut at the last complete token, so that any way to cut a document into chunks gives the events of the whole. Chunks that come
-before their turn wait in the state. A document ends with the chunk marked is_last.
+before their turn wait in the state. A document ends with the chunk marked is_last. A token that is not complete is searched for its end in
+what is new only, and is put together once its end is there.
 """
 
 from __future__ import annotations
@@ -9,7 +10,8 @@ from __future__ import annotations
 import codecs
 import pickle
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import replace
 from typing import Any
 
 import pandas as pd
@@ -17,32 +19,47 @@ from pyspark.sql import DataFrame
 
 from tagloom import schema as S
 from tagloom.functions.text import ENTITIES, NAME, SPACE
+from tagloom.schema import EVENTS, ParserOptions
 
-EVENTS = (
-    "doc_id bigint, seq bigint, type string, name string, local_name string, prefix string, uri string, attributes map<string,string>, "
-    "value string, error string, depth int, node_id bigint, parent_id bigint"
-)
+STREAM = ParserOptions(dialect="stream")
 _START = re.compile(rf"<({NAME}+)([{SPACE}]+[^>]*?)?[{SPACE}]*(/?)>\Z")
 _END = re.compile(rf"</({NAME}+)[{SPACE}]*>\Z")
 _ATTRIBUTE = re.compile(rf'({NAME}+)="([^"]*)"')
-_DECODE = re.compile("|".join([*ENTITIES, "&amp;"]))
+#: A byte order mark.
+_MARK = "\ufeff"
 _BLANK = re.compile(rf"[{SPACE}]*\Z")
 #: How markup that is passed over or taken as it is begins, what ends it, and how far after its beginning the end may lie.
 _SPANS = (("<!--", "-->", 2), ("<![CDATA[", "]]>", 9), ("<?", "?>", 1))
 
 
-def _decoded(text: str) -> str:
-    return _DECODE.sub(lambda m: ENTITIES.get(m[0], "&"), text)
+def decoder(options: ParserOptions) -> Callable[[str], str]:
+    """Entities decoded once, as functions.text.unescape() does."""
+    own = {k: v for k, v in options.entities if k and v}
+    table = {k: v for k, v in (ENTITIES | own).items() if k != "&amp;"} | {"&amp;": "&"}
+    if not options.decode_entities:
+        return lambda x: x
+    if own:
+        found = re.compile("|".join(map(re.escape, table)))
+        return lambda x: found.sub(lambda m: table[m[0]], x)
+
+    def plain(x: str) -> str:
+        for k, v in table.items():
+            x = x.replace(k, v)
+        return x
+
+    return lambda x: plain(x) if "&" in x else x
 
 
 class Incremental:
-    """The parser of one document. Feed it bytes; it gives the events that are certain."""
+    """The parser of one document. Feed it bytes; it gives the events that are certain. Options are given with each call: they are no state."""
 
     def __init__(self) -> None:
-        self.buffer, self.text, self.seq = "", "", 0
-        self.bytes = codecs.getincrementaldecoder("utf-8")("replace").getstate()
+        self.waits_for, self.parts = "", []  # the end of the token that is not complete, and what there is of it
+        self.texts: list[str] = []
+        self.seq = 0
+        self.bytes: tuple[Any, ...] | None = None
         self.open: list[tuple[str, int, dict[str, str]]] = []
-        self.begun = self.over = False
+        self.begun = self.marked = self.over = False
         self.next_chunk, self.waiting = 0, {}
 
     def _event(self, kind: str, **fields: Any) -> dict[str, Any]:
@@ -50,24 +67,24 @@ class Incremental:
         return {"seq": self.seq - 1, "type": kind, "depth": 0, **fields}
 
     def _inside(self) -> dict[str, Any]:
-        up = [n for _, n, _ in self.open[-2:]]
-        return {"depth": len(self.open), "node_id": up[-1] if up else None, "parent_id": up[-2] if len(up) > 1 else None}
+        up = self.open[-2:]
+        return {"depth": len(self.open), "node_id": up[-1][1] if up else None, "parent_id": up[-2][1] if len(up) > 1 else None, "element": up[-1][0] if up else None}
 
     def _names(self, name: str, scope: dict[str, str]) -> dict[str, Any]:
         prefix, colon, local = name.partition(":")
         return {"name": name, "local_name": local if colon else name, "prefix": prefix if colon else None, "uri": scope.get(prefix if colon else "")}
 
-    def _flush(self) -> Iterator[dict[str, Any]]:
-        value, self.text = _decoded(self.text), ""
+    def _flush(self, decoded: Callable[[str], str]) -> Iterator[dict[str, Any]]:
+        value, self.texts = decoded("".join(self.texts)), []
         if not _BLANK.match(value):
             yield self._event(S.CHARACTERS, value=value, **self._inside())
 
     def _fail(self, message: str) -> Iterator[dict[str, Any]]:
-        self.over, self.buffer = True, ""
+        self.over, self.parts = True, []
         yield self._event(S.ERROR, error=message)
 
-    def _tag(self, piece: str) -> Iterator[dict[str, Any]]:
-        yield from self._flush()
+    def _tag(self, piece: str, options: ParserOptions, decoded: Callable[[str], str]) -> Iterator[dict[str, Any]]:
+        yield from self._flush(decoded)
         if piece.startswith("</"):
             m = _END.match(piece)
             if not m:
@@ -82,96 +99,147 @@ class Incremental:
         if not m:
             yield from self._fail("Malformed start tag")
             return
-        scope, attributes = dict(self.open[-1][2]) if self.open else {}, {}
+        scope, attributes, infos = self.open[-1][2] if self.open else {}, {}, {}
         for name, raw in _ATTRIBUTE.findall(m[2] or ""):
-            attributes[name] = _decoded(raw)
-            if name == "xmlns" or name.startswith("xmlns:"):
-                scope[name[6:]] = attributes[name]
+            value = attributes[name] = decoded(raw)
+            prefix, colon, local = name.partition(":")
+            infos[local if colon else name] = {"value": value, "local_name": None, "prefix": prefix if colon else None, "uri": scope.get(prefix) if colon else None}
+            if options.namespaces and (name == "xmlns" or name.startswith("xmlns:")):
+                scope = {**scope, name[6:]: value}  # a tag without declarations shares the scope around it
         self.open.append((m[1], self.seq, scope))
-        yield self._event(S.START_ELEMENT, attributes=attributes, **self._names(m[1], scope), **self._inside())
+        yield self._event(S.START_ELEMENT, attributes=attributes, attributes_with_prefix=infos, **self._names(m[1], scope), **self._inside())
         if m[3]:
             yield self._event(S.END_ELEMENT, **self._names(m[1], scope), **self._inside())
             self.open.pop()
 
-    def feed(self, data: bytes, last: bool) -> Iterator[dict[str, Any]]:
+    def _decoded(self, data: bytes, last: bool, encoding: str) -> str:
+        reader = codecs.getincrementaldecoder(encoding)("replace")
+        if self.bytes is not None:
+            reader.setstate(self.bytes)
+        text = reader.decode(data, last)
+        self.bytes = reader.getstate()
+        if text and not self.marked:
+            self.marked, text = True, text.removeprefix(_MARK)
+        return text
+
+    def feed(self, data: bytes, last: bool, options: ParserOptions = STREAM) -> Iterator[dict[str, Any]]:
         if self.over:
             return
         if not self.begun:
             self.begun = True
             yield self._event(S.START_DOCUMENT)
-        decoder = codecs.getincrementaldecoder("utf-8")("replace")
-        decoder.setstate(self.bytes)
-        buffer, at = self.buffer + decoder.decode(data, last), 0
-        self.bytes, self.buffer = decoder.getstate(), ""
-        unfinished = ""
+        decoded, new = decoder(options), self._decoded(data, last, options.encoding)
+        searched = 0
+        if self.parts:
+            searched = sum(map(len, self.parts))
+            if self.waits_for and not last:
+                tail = "".join(self.parts[-len(self.waits_for) :])[1 - len(self.waits_for) :] if len(self.waits_for) > 1 else ""
+                if self.waits_for not in tail + new:
+                    if new:
+                        self.parts.append(new)
+                    return
+            new = "".join([*self.parts, new])
+        buffer, at, self.parts = new, 0, []
+        self.waits_for, unfinished = "", ""
         while at < len(buffer) and not self.over:
             if buffer[at] != "<":
                 end = buffer.find("<", at)
                 end = len(buffer) if end < 0 else end
-                self.text += buffer[at:end]
+                self.texts.append(buffer[at:end])
                 at = end
                 continue
             rest = buffer[at : at + 9]
             if not last and any(len(rest) < len(b) and b.startswith(rest) for b, _, _ in _SPANS):
                 break  # it may yet become one of them
             span = next(((b, e, skip) for b, e, skip in _SPANS if buffer.startswith(b, at)), None)
-            end = buffer.find(span[1] if span else ">", at + (span[2] if span else 0))
+            begin, stop = at + (span[2] if span else 0), span[1] if span else ">"
+            end = buffer.find(stop, max(begin, searched - len(stop) + 1) if at == 0 else begin)
             if end < 0:
-                unfinished = rest
+                unfinished, self.waits_for = rest, stop
                 break
-            end += len(span[1]) if span else 1
+            end += len(stop)
             if not span:
-                yield from self._tag(buffer[at:end])
+                yield from self._tag(buffer[at:end], options, decoded)
             elif span[0] == "<![CDATA[":
                 yield self._event(S.CDATA, value=buffer[at + 9 : end - 3], **self._inside())
             at = end
         if self.over:
             return
-        self.buffer = buffer[at:]
+        self.parts = [buffer[at:]] if at < len(buffer) else []
         if last:
-            self.over = True
+            self.over, self.parts = True, []
             waits = unfinished.startswith(("<!--", "<![CDATA[", "<?"))
             if not self.open or not waits:
-                yield from self._flush()
+                yield from self._flush(decoded)
             if self.open:
                 yield from self._fail("Unexpected end of document. Not all elements were closed.")
             else:
                 yield self._event(S.END_DOCUMENT)
 
-    def chunk(self, number: int, data: bytes, last: bool) -> Iterator[dict[str, Any]]:
+    def chunk(self, number: int, data: bytes, last: bool, options: ParserOptions = STREAM) -> Iterator[dict[str, Any]]:
         """A chunk, and those that waited for it."""
         if number >= self.next_chunk:
             self.waiting[number] = (data, last)
         while self.next_chunk in self.waiting:
             data, last = self.waiting.pop(self.next_chunk)
             self.next_chunk += 1
-            yield from self.feed(data, last)
+            yield from self.feed(data, last, options)
 
 
-def parse(xml: str | None) -> list[dict[str, Any]]:
+def parse(xml: str | None, options: ParserOptions = STREAM) -> list[dict[str, Any]]:
     """All events of a text."""
-    return list(Incremental().feed((xml or "").encode(), True))
+    return list(Incremental().feed((_MARK + (xml or "")).encode(), True, replace(options, encoding="utf-8")))
+
 
+_COLUMNS = ["doc_id", *(c.split()[0] for c in EVENTS.split(", ") if c.split()[0] != "doc_id")]
 
-_COLUMNS = [c.split()[0] for c in EVENTS.split(", ")]
 
+def _frame(doc_id: int, rows: list[dict[str, Any]]) -> pd.DataFrame:
+    frame = pd.DataFrame([{**dict.fromkeys(_COLUMNS), "doc_id": doc_id, **r} for r in rows], columns=_COLUMNS)
+    for c, kind in (("seq", "Int64"), ("depth", "Int32"), ("node_id", "Int64"), ("parent_id", "Int64")):
+        frame[c] = frame[c].astype(kind)
+    return frame
 
-def _update(key: tuple[int], frames: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-    parser = pickle.loads(state.get[0]) if state.exists else Incremental()
+
+def _read(parser: Incremental, frames: list[pd.DataFrame], options: ParserOptions) -> list[dict[str, Any]]:
     rows: list[dict[str, Any]] = []
-    for chunk in pd.concat(list(frames)).sort_values("chunk_seq").itertuples():
-        rows += parser.chunk(int(chunk.chunk_seq), bytes(chunk.bytes or b""), bool(chunk.is_last))
-    state.update((pickle.dumps(parser),))
-    if rows:
-        frame = pd.DataFrame([{**dict.fromkeys(_COLUMNS), "doc_id": key[0], **r} for r in rows], columns=_COLUMNS)
-        for c, kind in (("seq", "Int64"), ("depth", "Int32"), ("node_id", "Int64"), ("parent_id", "Int64")):
-            frame[c] = frame[c].astype(kind)
-        yield frame
+    for chunk in pd.concat(frames).sort_values("chunk_seq").itertuples():
+        rows += parser.chunk(int(chunk.chunk_seq), bytes(chunk.bytes or b""), bool(chunk.is_last), options)
+    return rows
 
 
-def parse_stream(chunks: DataFrame) -> DataFrame:
+def parse_stream(chunks: DataFrame, options: ParserOptions = STREAM, keep: int | None = None) -> DataFrame:
     """Events of a stream of chunk rows (sources.documents.CHUNKS); append mode.
 
-    A document's state is kept after its end, so that a chunk that comes again changes nothing.
+    When a document has ended, its state shrinks to an empty mark, so that a chunk that comes again changes nothing. For streams that
+    run on for good: the mark goes after `keep` milliseconds (with it, such a query starts a batch even if there is nothing new).
     """
-    return chunks.groupBy("doc_id").applyInPandasWithState(_update, EVENTS, "parser binary", "append", "NoTimeout")
+
+    def update(key: tuple[int], frames: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
+        if keep and state.hasTimedOut:
+            state.remove()
+            return
+        held = state.get[0] if state.exists else None
+        if held == b"":
+            list(frames)
+            if keep:
+                state.setTimeoutDuration(keep)
+            return
+        parser = pickle.loads(held) if held else Incremental()
+        rows = _read(parser, list(frames), options)
+        state.update((b"" if parser.over else pickle.dumps(parser),))
+        if parser.over and keep:
+            state.setTimeoutDuration(keep)
+        if rows:
+            yield _frame(key[0], rows)
+
+    return chunks.groupBy("doc_id").applyInPandasWithState(update, EVENTS, "parser binary", "append", "ProcessingTimeTimeout" if keep else "NoTimeout")
+
+
+def parse_chunks(chunks: DataFrame, options: ParserOptions = STREAM) -> DataFrame:
+    """The same for a table of chunks: each document is read chunk by chunk."""
+
+    def read(key: tuple[int], rows: pd.DataFrame) -> pd.DataFrame:
+        return _frame(key[0], _read(Incremental(), [rows], options))
+
+    return chunks.groupBy("doc_id").applyInPandas(read, EVENTS)
