@@ -14,11 +14,13 @@ from tagloom import schema as S
 from tagloom.functions.text import NAME, escape, local_of, prefix_of, trim, unescape
 from tagloom.operators import nodes as N
 from tagloom.operators.lexer import lex
+from tagloom.plans.calls import Calls
 from tagloom.plans.parse import parse_xml
 from tagloom.plans.tables import element, json_to_events, props_to_xml, rows_to_xml, table_to_xml, text
 from tagloom.plans.write import ATTRS, nodes_to_events, write_xml, writer_events
 from tagloom.schema import ParserOptions, WriterOptions
-from tagloom.sources.documents import chunks, decoded
+from tagloom.sources.documents import chunks, decoded, read_chunk_stream, shared_folder
+from tagloom.streaming.incremental import parse_chunks, parse_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 SYNC, STREAM = ParserOptions(dialect="sync"), ParserOptions(dialect="stream")
@@ -223,6 +225,28 @@ SELECT n_nationkey, 'world' AS local_name, 'urn:even' AS uri, CAST(NULL AS VARCH
 UNION ALL SELECT n_nationkey, 'nation', u, u FROM n UNION ALL SELECT n_nationkey, 'city', 'urn:d', NULL FROM n UNION ALL SELECT n_nationkey, 'after', 'urn:even', NULL FROM n"""
 
 
+_WORLDS = """
+WITH c AS (SELECT c_custkey, CASE WHEN c_nationkey % 3 = 1 THEN 'urn:odd' ELSE 'urn:even' END AS u, c_name FROM customer)
+SELECT c_custkey, 'world' AS local_name, 'urn:even' AS uri, CAST(NULL AS VARCHAR) AS name_uri FROM c
+UNION ALL SELECT c_custkey, 'customer', u, u FROM c UNION ALL SELECT c_custkey, 'city', 'urn:d', NULL FROM c UNION ALL SELECT c_custkey, 'after', 'urn:even', NULL FROM c"""
+
+
+def _customers(options: ParserOptions) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Customers in one of two namespaces under one prefix: documents with declarations, as many as there are customers."""
+        inner = F.when(F.col("c_nationkey") % 3 == 1, ' xmlns:g="urn:odd"').otherwise("")
+        xml = F.concat(F.lit('<g:world xmlns="urn:d" xmlns:g="urn:even"><g:customer'), inner, F.lit(' g:name="'), F.col("c_name"), F.lit('" plain="1"><city/></g:customer><g:after/></g:world>'))
+        starts = parse_xml(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), xml.alias("xml")), options).where(F.col("type") == S.START_ELEMENT)
+        key = "name" if options.dialect == "stream" else "g:name"
+        return starts.select(F.col("doc_id").alias("c_custkey"), "local_name", "uri", F.element_at("attributes_with_prefix", F.lit(key))["uri"].alias("name_uri"))
+
+    return run
+
+
+for _name, _options in (("ns_customers", SYNC), ("ns_customers_stream", STREAM)):
+    QUERIES[_name], ORACLE_SQL[_name] = _customers(_options), _WORLDS
+
+
 def _ns(events: DataFrame, key: str) -> DataFrame:
     starts = events.where(F.col("type") == S.START_ELEMENT)
     return starts.select(F.col("doc_id").cast("int").alias("n_nationkey"), "local_name", "uri", F.element_at("attributes_with_prefix", F.lit(key))["uri"].alias("name_uri"))
@@ -259,11 +283,14 @@ def prefix_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # lexical matters
 
-@query("SELECT doc_id, text FROM documents WHERE NOT contains(text, ']]>')")
+@query("SELECT doc_id, text FROM documents WHERE text IS NOT NULL")
 def cdata_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where(~F.contains("text", F.lit("]]>")))
-    docs = d.select("doc_id", F.concat(F.lit("<d><![CDATA["), F.col("text"), F.lit("]]></d>")).alias("xml"))
-    return parse_xml(docs).where(F.col("type") == S.CDATA).select("doc_id", F.col("value").alias("text"))
+    """A text that holds the end of a section goes in several."""
+    d = table(spark, sf_dir, "documents").where(F.col("text").isNotNull())
+    body = F.replace(F.col("text"), F.lit("]]>"), F.lit("]]]]><![CDATA[>"))
+    docs = d.select("doc_id", F.concat(F.lit("<d><![CDATA["), body, F.lit("]]></d>")).alias("xml"))
+    pieces = F.array_sort(F.collect_list(F.when(F.col("type") == S.CDATA, F.struct("seq", "value"))))
+    return parse_xml(docs).groupBy("doc_id").agg(F.array_join(F.transform(pieces, lambda p: p["value"]), "").alias("text"))
 
 
 @query("SELECT doc_id, text FROM documents WHERE regexp_matches(text, '[^ \\t\\n\\r]')")
@@ -313,6 +340,29 @@ def tag_end_in_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "doc_id").withColumnRenamed("doc_id", "o_orderkey")
 
 
+@query("SELECT o_orderkey, 4 AS events, CAST(NULL AS VARCHAR) AS error, o_orderstatus AS status FROM orders")
+def doctype_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    xml = F.concat(F.lit('<?xml version="1.0"?><!DOCTYPE order SYSTEM "order.dtd">'), element("order", F.lit(""), {"status": F.col("o_orderstatus")}))
+    e = parse_xml(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), xml.alias("xml")))
+    return e.groupBy(F.col("doc_id").alias("o_orderkey")).agg(
+        F.count(F.lit(1)).cast("int").alias("events"), F.max("error").alias("error"), F.max(F.element_at("attributes", F.lit("status"))).alias("status"))
+
+
+@query("SELECT p_partkey, p_name || ' é' AS name FROM part")
+def other_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as bytes of ISO-8859-1; a byte of it is no UTF-8."""
+    xml = F.concat(F.lit('<?xml version="1.0" encoding="ISO-8859-1"?>'), element("name", F.concat(escape(F.col("p_name")), F.lit(" é"))))
+    docs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.encode(xml, "ISO-8859-1").alias("xml"))
+    e = parse_xml(docs, ParserOptions(encoding="ISO-8859-1"))
+    return e.where(F.col("type") == S.CHARACTERS).select(F.col("doc_id").alias("p_partkey"), F.col("value").alias("name"))
+
+
+@query("SELECT 8 * count(*) + 4 * count(DISTINCT l_orderkey) AS events, CAST(sum(length(CAST(CAST(l_quantity AS BIGINT) AS VARCHAR)) + length(l_returnflag)) AS BIGINT) AS chars FROM lineitem")
+def consume_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event of every document is looked at."""
+    return parse_xml(nested_documents(spark, sf_dir)).agg(F.count("type").alias("events"), F.sum(F.when(F.col("type") == S.CHARACTERS, F.length("value")).otherwise(0)).alias("chars"))
+
+
 # errors
 
 def faulty_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -398,6 +448,32 @@ def write_pretty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_xml(_order_events(spark, sf_dir), WriterOptions(pretty=True)).select(F.col("doc_id").alias("o_orderkey"), "xml")
 
 
+@query("SELECT o_orderkey, '<o k=\"' || o_orderstatus || '&\"><?sort by=\"key\" ' || o_orderkey || '?><?break?>a & <b></o>' AS xml FROM orders")
+def write_unescaped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text as it is, and processing instructions with and without data."""
+    none, o = "cast(NULL AS STRING)", table(spark, sf_dir, "orders")
+
+    def e(seq: int, kind: str, name: str = none, value: str = none, target: str = none, attrs: str = "NULL") -> str:
+        return f"named_struct('seq', {seq}L, 'type', '{kind}', 'name', {name}, 'value', {value}, 'target', {target}, 'attrs', cast({attrs} AS {ATTRS}))"
+
+    status = f"array(named_struct('name', 'k', 'value', concat(o_orderstatus, '&'), 'prefix', {none}))"
+    events = [
+        e(0, S.START_ELEMENT, "'o'", attrs=status), e(1, S.PROCESSING_INSTRUCTION, value="concat('by=\"key\" ', o_orderkey)", target="'sort'"), e(2, S.PROCESSING_INSTRUCTION, target="'break'"),
+        e(3, S.CHARACTERS, value="'a & <b>'"), e(4, S.END_DOCUMENT)]
+    rows = o.select(F.col("o_orderkey").alias("doc_id"), F.explode(F.expr(f"array({', '.join(events)})")).alias("e")).select("doc_id", "e.*")
+    return write_xml(rows, WriterOptions(encode_entities=False)).select(F.col("doc_id").alias("o_orderkey"), "xml")
+
+
+@query("""SELECT s_suppkey, '<?xml version="1.1" encoding="ISO-8859-1"?><p:s xmlns:p="urn:s" k="v&amp;"><p:t>x</p:t><e/><!-- c --></p:s>' AS xml FROM supplier""")
+def write_chained_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of a writer, chained, once for every supplier."""
+    calls = Calls().start_document("1.1", "iso-8859-1").start_element("s", "p", "urn:s", {"k": "v&"}).start_element("t", "p").characters("x").end_element().start_element("e", self_closing=True).comment("c").end_document()
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"))
+    # one document's calls, a known handful of rows, beside each supplier
+    rows = suppliers.select("doc_id", F.explode(F.expr(f"sequence(0L, {len(calls.events) - 1}L)")).alias("seq")).join(F.broadcast(calls.frame(spark).drop("doc_id")), "seq")
+    return write_xml(rows).select(F.col("doc_id").alias("s_suppkey"), "xml")
+
+
 def _call_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls that a writer takes or refuses, by key."""
     none = "cast(NULL AS STRING)"
@@ -491,6 +567,35 @@ def chunks_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("doc_id", decoded(F.col("b")).alias("text"))
 
 
+_ORDERS_SQL = ORACLE_SQL["orders_extract"]
+
+
+def _order_rows(events: DataFrame) -> DataFrame:
+    rows = N.records(events, "order", {"id": "@id", "status": "@status", "priority": "priority", "cents": "cents", "customer": "customer"})
+    return rows.select(
+        F.col("id").cast("long").alias("o_orderkey"), F.col("status").alias("o_orderstatus"), F.col("priority").alias("o_orderpriority"), F.col("cents").cast("long").alias("cents"), F.col("customer").cast("long").alias("o_custkey"))
+
+
+@query(_ORDERS_SQL)
+def chunk_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in chunks of 7 bytes, read by the incremental parser."""
+    return _order_rows(parse_chunks(chunks(order_documents(spark, sf_dir), 7)))
+
+
+@query("SELECT s_suppkey, s_name AS name, 'urn:s' AS uri, 'n' || s_nationkey || '&' AS nation FROM supplier")
+def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of all documents as a stream of files, parsed by a stateful query with entities of its own, written to files and read again."""
+    s, at = table(spark, sf_dir, "supplier"), shared_folder(spark)
+    xml = F.concat(F.lit('<s:supplier xmlns:s="urn:s" s:nation="n'), F.col("s_nationkey"), F.lit('&and;"><name>'), escape(F.col("s_name")), F.lit("</name></s:supplier>"))
+    chunks(s.select(F.col("s_suppkey").alias("doc_id"), xml.alias("xml")), 11).repartition(2, F.pmod("chunk_seq", F.lit(2))).write.parquet(f"{at}/chunks")
+    events = parse_stream(read_chunk_stream(spark, f"{at}/chunks"), ParserOptions(dialect="stream", entities=(("&and;", "&"),)))
+    running = events.writeStream.format("parquet").option("path", f"{at}/events").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    running.awaitTermination()
+    found = spark.read.schema(S.EVENTS).parquet(f"{at}/events")
+    starts = F.when((F.col("type") == S.START_ELEMENT) & (F.col("local_name") == "supplier"), F.element_at("attributes_with_prefix", F.lit("nation")))
+    return found.groupBy(F.col("doc_id").alias("s_suppkey")).agg(F.max("value").alias("name"), F.max(starts["uri"]).alias("uri"), F.max(starts["value"]).alias("nation"))
+
+
 @query(f"SELECT doc_id, count(*) AS words FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{NAME}+')) AS w FROM documents) GROUP BY doc_id")
 def name_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What could be a name, by the pattern of names."""

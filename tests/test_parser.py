@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -13,7 +15,12 @@ from tagloom.streaming.incremental import Incremental, parse
 OPEN = "Unexpected end of document. Not all elements were closed."
 #: (document, events of sync, events of stream); an event is +name, -name, text, [cdata] or !error.
 CASES = [
-    ("<root>Hello <bold>World</bold>!</root>", "+root|Hello|+bold|World|-bold|!|-root|.", "+root|Hello |+bold|World|-bold|!|-root|."),
+    ("<note>see <em>page 7</em>, below</note>", "+note|see|+em|page 7|-em|, below|-note|.", "+note|see |+em|page 7|-em|, below|-note|."),
+    ("<p><q>a</q><q> </q><q></q><q>&lt;b</q ></p>", "+p|+q|a|-q|+q|-q|+q|-q|+q|<b|-q|-p|.", "+p|+q|a|-q|+q|-q|+q|-q|+q|<b|-q|-p|."),
+    ("<p><q>a</p></q>", "+p|+q|a|!Mismatched closing tag: </p>. Expected </q>.", "+p|+q|a|!Mismatched closing tag: </p>. Expected </q>"),
+    ("<p>x<!-- c -->y<q>z</q><!-- d -->w<![CDATA[k]]>v</p>", "+p|x|y|+q|z|-q|w|[k]|v|-p|.", "+p|xy|+q|z|-q|[k]|wv|-p|."),
+    ("<p>x<q>y</q>z<", "+p|x|+q|y|-q|z|!Unclosed start tag", f"+p|x|+q|y|-q|z|!{OPEN}"),
+    ("<a><b>1</b><c k='<b>2</b>'>3</c></a>", "+a|+b|1|-b|+c|3|-c|-a|.", "+a|+b|1|-b|+c|2|!Mismatched closing tag: </b>. Expected </c>"),
     ("<a>x<![CDATA[y]]>z</a>", "+a|x|[y]|z|-a|.", "+a|[y]|xz|-a|."),
     ("<a>\n <b/>\n</a>", "+a|+b|-b|-a|.", "+a|+b|-b|-a|."),
     ("<!DOCTYPE r><r/>", "+r|-r|.", "!Malformed start tag"),
@@ -139,3 +146,50 @@ def test_incremental_is_the_stream_dialect(spark):
     for i, t in enumerate(texts):
         want = [tuple(e.get(c) for c in ("seq", "type", "name", "local_name", "prefix", "uri", "value", "error", "depth", "node_id", "parent_id")) + (e.get("attributes"),) for e in parse(t)]
         assert found[i] == want, t
+
+
+def test_element_names_and_columns(spark):
+    rows = one(spark, "<a>t<b>u</b><c/><!-- x -->v</a>")
+    assert [(r.type[:3], r.element, r.seq, r.node_id, r.parent_id) for r in rows[1:-1]] == [
+        ("STA", "a", 1, 1, None), ("CHA", "a", 2, 1, None), ("STA", "b", 3, 3, 1), ("CHA", "b", 4, 3, 1), ("END", "b", 5, 3, 1), ("STA", "c", 6, 6, 1), ("END", "c", 7, 6, 1),
+        ("CHA", "a", 8, 1, None), ("END", "a", 9, 1, None)]
+
+
+def test_many_pieces_in_one_run_and_many_tags_on_one_level(spark):
+    began = time.time()
+    pieces = "<a>" + "x<!-- y -->" * 40_000 + "</a>"
+    rows = one(spark, pieces, dialect="stream")
+    assert [r.value for r in rows if r.value] == ["x" * 40_000]
+    wide = '<a xmlns:p="u">' + "<p:b></p:b>" * 40_000 + "</a>"
+    assert {r.uri for r in one(spark, wide) if r.name == "p:b"} == {"u"}
+    assert time.time() - began < 60
+
+
+OPTIONS = ParserOptions(dialect="stream", entities=(("&co;", "A & B"), ("&nl;", " ")))
+
+
+def test_stream_options_are_those_of_the_plan(spark):
+    texts = [
+        '<r xmlns="d" xmlns:p="1"><p:c xmlns:p="2&amp;" p:k="v" q:k="w" k="&co;"/>&co;&lt;<p:e p:k="&nl;" late:x="1" xmlns:late="3"/>&nl;</r>', "<a>&amp;lt;</a>", "﻿<a>é</a>", "<a>&nl;<b/></a>", "plain &co;"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, xml string")
+    for options in (OPTIONS, ParserOptions(dialect="stream", decode_entities=False), ParserOptions(dialect="stream", namespaces=False)):
+        plan: dict[int, list] = {i: [] for i in range(len(texts))}
+        for r in parse_xml(docs, options).orderBy("doc_id", "seq").collect():
+            plan[r.doc_id].append(r.asDict(True))
+        for i, t in enumerate(texts):
+            got = parse(t, options)
+            assert len(got) == len(plan[i])
+            for e, r in zip(got, plan[i], strict=True):
+                for c in ("seq", "type", "name", "uri", "value", "attributes", "attributes_with_prefix", "depth", "node_id", "parent_id", "element"):
+                    assert e.get(c) == r[c], (t, c)
+    whole = Incremental().feed("<a>é</a>".encode("utf-16"), True, ParserOptions(dialect="stream", encoding="utf-16"))
+    assert [e.get("value") for e in whole if e.get("value")] == ["é"]
+
+
+def test_a_token_that_does_not_end_is_not_searched_again():
+    began, parser, out = time.process_time(), Incremental(), []
+    for k in range(4000):
+        out += parser.chunk(k, b"<a><![CDATA[" if not k else b"x]" * 1000, False)
+    out += parser.chunk(4000, b"]></a>", True)
+    assert [e["type"] for e in out] == ["START_DOCUMENT", "START_ELEMENT", "CDATA", "END_ELEMENT", "END_DOCUMENT"] and len(out[2]["value"]) == 2000 * 3999 - 1
+    assert time.process_time() - began < 5
