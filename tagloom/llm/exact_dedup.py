@@ -3,7 +3,8 @@
 A text's digest is the SHA-256 of its UTF-8 form without `[\\x20\\x09-\\x0D]`. Misra-Gries summaries, one per partition
 and then merged, name the digests that may be frequent; their exact counts are then taken, and the verified winners
 with their chosen rows are broadcast (at most `counters` rows), so rows of a large group are decided on the map side.
-All other digests go through one ordinary shuffle, in which no group can hold more than 1/counters of the rows.
+All other digests are counted with a partial aggregate on the map side, and no group can hold more than 1/counters of the
+rows; of these groups, only those of two rows or more are joined with the rows again.
 
 Edge cases: a null text counts as empty; all empty texts form one group; repeated rows (same id, same text) are one
 group whose keep_id is that id, and `kept` then marks one of them; a null id sorts after all others; an empty table gives an empty result.
@@ -15,7 +16,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.llm.common import if_small, materialize, slim, table
@@ -58,13 +59,13 @@ def frequent_digests(digests: DataFrame, counters: int = COUNTERS) -> list[bytes
 
     def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = misra_gries((d for b in batches for d in b.column(0).to_pylist()), counters)
-        held = {k: n for k, n in held.items() if n > 1}  # what a partition holds once is left to the shuffle: right there too
         yield pa.RecordBatch.from_pydict({"digest": pa.array(list(held), pa.binary()), "n": pa.array(list(held.values()), pa.int64())})
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, int] = {}
         for b in batches:
-            held = merge_summaries([held, dict(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))], counters)
+            rows = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
+            held = merge_summaries([held, *({d: n} for d, n in rows)], counters)  # a batch may hold a digest several times
         yield pa.RecordBatch.from_pydict({"digest": pa.array(list(held), pa.binary()), "n": pa.array(list(held.values()), pa.int64())})
 
     out = digests.select("digest").mapInArrow(summary, "digest binary, n long")
@@ -72,7 +73,7 @@ def frequent_digests(digests: DataFrame, counters: int = COUNTERS) -> list[bytes
     held: dict[bytes, int] = {}
     for row in out.toLocalIterator():  # at most 64 x counters rows
         held[bytes(row.digest)] = held.get(bytes(row.digest), 0) + row.n
-    return [k for k, n in Counter(held).most_common(counters) if n > 1]
+    return list(merge_summaries([held], counters))
 
 
 def _digests(docs: DataFrame, id_col: str, text_col: str, rid: Column) -> DataFrame:
@@ -99,10 +100,13 @@ def _decide(rows: DataFrame, counters: int) -> DataFrame:
     winners = F.broadcast(spark.createDataFrame(  # at most `counters` rows
         [(r.digest, r.n, r.best.id, r.best.rid, r.spare) for r in found.collect()], f"digest binary, n long, keep {kind}, keep_rid long, spare long"))
     hot = rows.join(winners, "digest").select("rid", "id", "digest", "n", "keep", (F.col("rid") == F.col("keep_rid")).alias("kept"), "spare")
-    group = Window.partitionBy("digest")
-    order = group.orderBy(F.desc("len"), F.asc_nulls_last("id"), "rid")
-    cold = rows.join(winners.select("digest"), "digest", "left_anti").select(
-        "rid", "id", "digest", F.count(F.lit(1)).over(group).alias("n"), F.first("id").over(order).alias("keep"), (F.row_number().over(order) == 1).alias("kept"), no_id.over(group).alias("spare"))
+    cold = rows.join(winners.select("digest"), "digest", "left_anti")
+    groups = cold.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), best, no_id.alias("spare")).where("n > 1")
+    groups = materialize(groups.select(F.col("digest").alias("of"), "n", F.col("best.id").alias("keep"), F.col("best.rid").alias("keep_rid"), "spare"), "groups")
+    alone = F.col("of").isNull()
+    cold = cold.join(if_small(groups), F.col("digest") == F.col("of"), "left").select(
+        "rid", "id", "digest", F.coalesce("n", F.lit(1).cast("long")).alias("n"), F.when(alone, F.col("id")).otherwise(F.col("keep")).alias("keep"),
+        (alone | (F.col("rid") == F.col("keep_rid"))).alias("kept"), F.when(~alone, F.col("spare")).when(F.col("id").isNull(), F.col("rid")).alias("spare"))
     return hot.unionByName(cold)
 
 
