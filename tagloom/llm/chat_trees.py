@@ -10,7 +10,9 @@ after their first character, backslashes are doubled, and a newline inside a rol
 a backslash and keeps the character after it. `loss_spans` are the places of the assistant's texts in the formatted text.
 
 Edge cases: null text or role counts as empty; a parent that does not exist makes its child a root; nodes on a cycle
-reach no root and are left out; a null tree id is a tree of its own; repeated rows are turns of their own; no rows give no conversations.
+reach no root and are left out; rows without a node id are left out, too; a null tree id is a tree of its own. Rows of one
+(tree, node) are one node before any join, with the least parent and the highest score of its rows: each row is a turn of
+its own, in the order of role and text, so branches do not multiply. Texts of any length are formatted whole; no rows give no conversations.
 """
 
 from __future__ import annotations
@@ -80,7 +82,9 @@ def format_trees(turns: DataFrame, top: int = 1) -> DataFrame:
 
     turns: tree, node, parent, score, role, text.
     """
-    chosen = paths(turns.select("tree", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")), top)
+    score = F.coalesce(F.col("score").cast("double"), F.lit(0.0))
+    nodes = turns.where("node is not null").groupBy("tree", "node").agg(F.min("parent").alias("parent"), F.max(score).alias("score"))
+    chosen = paths(materialize(nodes, "nodes"), top)
     own = turns.select(F.col("tree").alias("t"), F.col("node").alias("n"), "role", "text")
     role = F.replace(escape(F.col("role")), F.lit("\n"), F.lit("\\\n"))
     rows = chosen.join(own, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n"))).select(
