@@ -31,6 +31,8 @@ from tagloom.llm.common import as_bytes, per_batch, slim, table
 
 #: Entries that a codec keeps of words met before.
 MEMORY = 300_000
+#: Pairs of tokens that are remembered.
+BORDERS = 200_000
 #: Pieces up to this many bytes share the table of prefixes.
 SHORT = 40
 #: A space before which the pattern may not start a new match.
@@ -53,6 +55,8 @@ class Merges:
         self.reach: dict[bytes, int] = {}  # the longest token that ends with these four bytes (or is these, if shorter)
         for t in ranks:
             self.reach[t[-4:]] = max(self.reach.get(t[-4:], 3), len(t))
+        self.borders: dict[tuple[int, int], bool] = {}  # what apart() said, of `most` pairs (speed only)
+        self.most = BORDERS
         self.pairs: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
         for token, n in sorted(ranks.items(), key=lambda x: x[1]):
@@ -75,7 +79,7 @@ class Merges:
         """Whether encoding the bytes of left then right gives just these two tokens.
 
         Undo merges on both sides of the border, latest first, and look for a merge across it that would have come
-        before the merge undone last on either side.
+        before the merge undone last on either side: the idea of public linear-time byte-pair encoders.
         """
         pairs, parts, bound = self.pairs, self.parts, 1 << 60
         while True:
@@ -95,6 +99,24 @@ class Merges:
                         return True
 
 
+    def last(self, data: bytes, end: int, before: Callable[[int], int]) -> int:
+        """The last token of data[:end]; before(j) is that of the shorter prefix data[:j]."""
+        ranks, borders = self.ranks, self.borders
+        for j in range(max(0, end - self.reach.get(data[max(0, end - 4) : end], 3)), end):
+            if (s := data[j:end]) in ranks:
+                t = ranks[s]
+                if not j:
+                    return t
+                pair = (before(j), t)
+                if (fits := borders.get(pair)) is None:
+                    if len(borders) > self.most:
+                        borders.clear()
+                    fits = borders[pair] = self.apart(*pair)
+                if fits:
+                    return t
+        raise ValueError("the vocabulary lacks a single byte")
+
+
 class PrefixTable:
     """Bytes with the last token of each of their prefixes."""
 
@@ -104,12 +126,8 @@ class PrefixTable:
 
     def _last(self, i: int) -> int:
         """The last token of data[: i + 1]."""
-        m, data, last, end = self.merges, self.data, self.last, i + 1
-        for j in range(max(0, end - m.longest), end):
-            t = m.ranks.get(data[j:end])
-            if t is not None and (not j or m.apart(last[j - 1], t)):
-                return t
-        raise ValueError("the vocabulary lacks a single byte")
+        last = self.last
+        return self.merges.last(self.data, i + 1, lambda j: last[j - 1])
 
     def append(self, more: bytes) -> None:
         n = len(self.data)
@@ -145,12 +163,12 @@ class Codec:
 
     def __init__(self, merges: Merges, pattern: str, memory: int = MEMORY):
         self.merges, self.split, self.memory = merges, regex.compile(pattern).findall, memory
+        merges.most = min(BORDERS, 2 * memory)
         self.names = {str(n): t for n, t in merges.token_bytes.items()}
         self.pieces: dict[str, str] = {}
         self.spaced: dict[str, str] = {}
         self.before: dict[str, str] = {}  # the last table that was full
         self.prefixes: dict[bytes, int] = {}
-        self.borders: dict[tuple[int, int], bool] = {}
 
     def _piece(self, piece: str) -> str:
         data = piece.encode()
@@ -159,15 +177,14 @@ class Codec:
         if len(data) > SHORT:
             return " ".join(map(str, PrefixTable(self.merges, data).ids()))
         known = self.prefixes
-        if len(known) > 4 * self.memory:
+        if len(known) > 2 * self.memory:
             known.clear()
-            self.borders.clear()
         end = len(data)
         while end and data[:end] not in known:
             end -= 1
         while end < len(data):
             end += 1
-            known[data[:end]] = self._last(data, end)
+            known[data[:end]] = self.merges.last(data, end, lambda j: known[data[:j]])
         out = []
         while end:
             t = known[data[:end]]
@@ -175,21 +192,6 @@ class Codec:
             end -= len(self.merges.token_bytes[t])
         return " ".join(out[::-1])
 
-    def _last(self, data: bytes, end: int) -> int:
-        """The last token of data[:end]; those of all shorter prefixes are known."""
-        ranks, known, borders = self.merges.ranks, self.prefixes, self.borders
-        for j in range(max(0, end - self.merges.reach.get(data[max(0, end - 4) : end], 3)), end):
-            if (s := data[j:end]) in ranks:
-                t = ranks[s]
-                if not j:
-                    return t
-                pair = (known[data[:j]], t)
-                if (fits := borders.get(pair)) is None:
-                    fits = borders[pair] = self.merges.apart(*pair)
-                if fits:
-                    return t
-        raise ValueError("the vocabulary lacks a single byte")
-
     def _pieces(self, text: str) -> str:
         known, out = self.pieces, []
         if len(known) > self.memory:
