@@ -11,20 +11,24 @@ strings shares an anchor, and their union is the anchor's span. Only the suffixe
 2. Where a gram is repeated in different spans, one span of each kind is read again. Its strings are sorted by multikey
    quicksort (8 bytes a key, ties only), and neighbours that agree on all LENGTH bytes are repeated.
 
-Equal texts are one text: their suffixes agree anyhow, and one that occurs twice is repeated as a whole.
+Equal texts are one text: their suffixes agree anyhow, and one that occurs twice is repeated as a whole. Texts are told
+apart by 128 bits (by 64 in the tables, after those that clash there have been given other numbers); spans by the 64 bits of
+their key and 64 of their own hash, which two different spans would have to share together.
 
 Edge cases: null counts as empty; texts under LENGTH bytes have no such string and keep all; strings never cross
-documents; occurrences may overlap in one document; repeated rows repeat each other; an empty table gives an empty result.
+documents; occurrences may overlap in one document; repeated rows repeat each other; a null id has a row like any other; texts
+of any length are processed whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.llm.common import arrow, as_bytes, if_small, materialize, mix64, slim, table
@@ -33,8 +37,8 @@ from tagloom.llm.rolling import BASES, Rolling
 LENGTH, K = 200, 48
 #: Strings that compete for an anchor: grams of one string.
 WIDTH = LENGTH - K + 1
-#: Texts that the splitters are taken from, about.
-SAMPLE = 4000
+#: Different texts that the splitters are taken from, about, and the most keys of each; bytes of different texts to a bucket.
+SAMPLE, SAMPLE_KEYS, BUCKET = 4000, 4096, 256 << 20
 #: Bits of an anchor's place in a text; longer texts are taken in overlapping pieces of this size.
 PLACE = 24
 #: Members of a gram's group up to which its spans meet in one task; larger groups meet by digests of strings.
@@ -87,10 +91,34 @@ def _signed(key: np.ndarray) -> np.ndarray:
     return (key ^ np.uint64(1 << 63)).view(np.int64)
 
 
-def _texts(docs: DataFrame, text_col: str) -> DataFrame:
-    """(tid, text) of texts that are long enough. tid is a hash of the text: all that follows depends on texts only."""
+def _tid(text: Column, clashes: list[int]) -> Column:
+    """The number of a text: a hash of it, so that all that follows depends on texts only; another hash for those whose first one clashes."""
+    first = F.xxhash64(text, F.octet_length(text))
+    return F.when(first.isin(clashes), _other(text)).otherwise(first) if clashes else first
+
+
+def _other(text: Column) -> Column:
+    return F.xxhash64(F.lit(LENGTH), F.octet_length(text), text)
+
+
+@dataclass
+class Texts:
+    """(tid, text) of texts that are long enough; how many different ones there are, and their bytes."""
+
+    rows: DataFrame
+    number: int
+    bytes: int
+    clashes: list[int]
+
+
+def _texts(docs: DataFrame, text_col: str) -> Texts:
     text = F.col(f"`{text_col}`")
-    return docs.where(F.octet_length(text) >= LENGTH).select(F.xxhash64(text, F.octet_length(text)).alias("tid"), text.alias("text"))
+    long = docs.where(F.octet_length(text) >= LENGTH)
+    ids = long.select(_tid(text, []).alias("tid"), _other(text).alias("other"), F.octet_length(text).cast("long").alias("bytes"))
+    ids = materialize(ids.groupBy("tid").agg((F.min("other") != F.max("other")).alias("clash"), F.max("bytes").alias("bytes")), "texts")
+    number, size = ids.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    clashes = [r.tid for r in ids.where("clash").select("tid").collect()]  # a handful even among 10**11 texts
+    return Texts(long.select(_tid(text, clashes).alias("tid"), text.alias("text")), number, size, clashes)
 
 
 def _rows(text: bytes, tid: int) -> tuple[np.ndarray, ...]:
@@ -98,39 +126,43 @@ def _rows(text: bytes, tid: int) -> tuple[np.ndarray, ...]:
     return _signed(key), span.view(np.int64), np.full(len(key), tid, np.int64), place << 16 | first << 8 | last
 
 
-def splitters(texts: DataFrame, buckets: int) -> np.ndarray:
-    """Ascending keys between the buckets; a frequent key may come more than once."""
-    many = max(1, texts.count() // SAMPLE)
+def splitters(texts: Texts, buckets: int) -> np.ndarray:
+    """Ascending keys between the buckets; a frequent key may come more than once. Copies of a text count once; about SAMPLE
+    texts and at most SAMPLE_KEYS keys of each come to the driver."""
+    many = max(1, texts.number // SAMPLE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [_signed(anchors(t)[0])[::4] for t in as_bytes(batch.column(0))]
+            keys = [_signed(k)[:: max(4, -(-len(k) // SAMPLE_KEYS))] for t in as_bytes(batch.column(0)) for k in anchors(t)[:1]]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64))], ["key"])
 
-    got = arrow(texts.where(F.pmod("tid", F.lit(many)) == 0).where(F.octet_length("text") < 1 << 20).select("text"), run, "key long").toArrow()["key"].to_numpy()
+    some = texts.rows.where(F.pmod("tid", F.lit(many)) == 0).dropDuplicates(["tid"])  # copies leave where they are
+    got = arrow(some.select("text"), run, "key long").toArrow()["key"].to_numpy()
     got = np.sort(got)
     return got[(np.arange(1, buckets) * len(got)) // buckets] if len(got) else got
 
 
-def _classify(key: np.ndarray, span: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _classify(key: np.ndarray, span: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of rows sorted by key and span, each standing for n equal ones: which are repeated as a whole, which are the first of
-    their span in a group of several spans, and for first ones how many rows their span has (else 0)."""
+    their span in a group of several spans, for first ones how many rows their span has (else 0), and how many spans the group has."""
     new_key = np.append(True, key[1:] != key[:-1])
     new_span = new_key | np.append(True, span[1:] != span[:-1])
     first, start = np.flatnonzero(new_span), np.flatnonzero(new_key)
     size = np.add.reduceat(n, first)
     whole = np.repeat(size > 1, np.diff(np.append(first, len(key))))
     spans = np.add.reduceat(new_span.astype(np.int64), start)
-    several = np.repeat(spans > 1, np.diff(np.append(start, len(key))))
+    spans = np.repeat(spans, np.diff(np.append(start, len(key))))
     total = np.zeros(len(key), np.int64)
     total[first] = size
-    return whole, several & new_span, total
+    return whole, (spans > 1) & new_span, total, spans
 
 
-def arrange(texts: DataFrame) -> DataFrame:
-    """(kind, key, span, tid, pack, n): anchors whose spans are repeated (kind 0), to be compared (kind 1), or of a splitter's gram (kind 2)."""
-    spark = texts.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def arrange(texts: Texts) -> DataFrame:
+    """(kind, key, span, tid, pack, n): anchors whose spans are repeated (kind 0), to be compared (kind 1), or of a splitter's gram or
+    a group of over GROUP spans (kind 2)."""
+    spark = texts.rows.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-texts.bytes // BUCKET))
+    most = GROUP
     between = splitters(texts, n)
     sent = spark.sparkContext.broadcast(between)  # a key a bucket
 
@@ -154,7 +186,8 @@ def arrange(texts: DataFrame) -> DataFrame:
         fresh = np.flatnonzero(np.append(True, np.any([x[1:] != x[:-1] for x in rows], 0)))
         n, rows = np.diff(np.append(fresh, len(order))), [x[fresh] for x in rows]
         shared = np.isin(rows[0], sent.value)
-        whole, compare, total = _classify(rows[0], rows[1], n)
+        whole, compare, total, spans = _classify(rows[0], rows[1], n)
+        shared |= spans > most
         # of a gram that may lie in other buckets too, one row of each span goes on, with the number that this bucket has
         for kind, chosen in ((0, whole), (1, compare & ~shared), (2, shared & (total > 0))):
             at = np.flatnonzero(chosen)
@@ -162,18 +195,18 @@ def arrange(texts: DataFrame) -> DataFrame:
                 part = at[i : i + 100_000]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int32)), *(pa.array(x[part]) for x in rows), pa.array(total[part])], ["kind", "key", "span", "tid", "pack", "n"])
 
-    rows = arrow(texts, emit, f"{COLUMNS}, bucket int").repartitionById(n, F.col("bucket")).drop("bucket")
+    rows = arrow(texts.rows, emit, f"{COLUMNS}, bucket int").repartitionById(n, F.col("bucket")).drop("bucket")
     return materialize(arrow(rows, sort, f"kind int, {COLUMNS}, n long", rows=100_000), "anchors")
 
 
 def across_boundaries(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of grams that are splitters, a row for each span and bucket: further spans that are repeated as a whole (once in each of
+    """Of grams that are splitters or have many spans, a row for each span and bucket: further spans that are repeated as a whole (once in each of
     several buckets), those to be compared, and those of large groups."""
     spans = rows.groupBy("key", "span").agg(F.sum("n").alias("all"), F.min(F.struct("tid", "pack")).alias("one"))
     spans = materialize(spans, "spans")
-    groups = materialize(spans.groupBy("key").agg(F.count(F.lit(1)).alias("spans")), "groups")  # at most a row a splitter
+    groups = materialize(spans.groupBy("key").agg(F.count(F.lit(1)).alias("spans")), "groups")  # at most a row a splitter, and one for GROUP spans
     whole = rows.where("n = 1").join(spans.where("all > 1").select("key", "span"), ["key", "span"], "left_semi").select("tid", "pack")
-    several = spans.join(F.broadcast(groups), "key").where("spans > 1").select("spans", "key", F.col("one.tid").alias("tid"), F.col("one.pack").alias("pack"))
+    several = spans.join(if_small(groups), "key").where("spans > 1").select("spans", "key", F.col("one.tid").alias("tid"), F.col("one.pack").alias("pack"))
     return whole, several.where(F.col("spans") <= GROUP).drop("spans"), several.where(F.col("spans") > GROUP).drop("spans")
 
 
@@ -288,16 +321,19 @@ def compare_large(spans: DataFrame) -> DataFrame:
 
 def covered(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(tid, spans): the bytes to remove of each text, as (start, end)."""
-    texts = _texts(docs, text_col)
+    return _covered(_texts(docs, text_col))
+
+
+def _covered(texts: Texts) -> DataFrame:
     rows = arrange(texts)
     whole, few, many = across_boundaries(rows.where("kind = 2"))
     whole = rows.where("kind = 0").select("tid", "pack").unionByName(whole)
     place = F.shiftright("pack", 16)
     runs = whole.select("tid", (place - F.shiftright("pack", 8).bitwiseAND(F.lit(255))).alias("first"), (place - F.col("pack").bitwiseAND(F.lit(255))).alias("last"))
-    runs = runs.unionByName(compare(_spans_of(texts, rows.where("kind = 1").select("key", "tid", "pack").unionByName(few))))
+    runs = runs.unionByName(compare(_spans_of(texts.rows, rows.where("kind = 1").select("key", "tid", "pack").unionByName(few))))
     many = materialize(many, "large")
     if many.limit(1).count():
-        runs = runs.unionByName(compare_large(_spans_of(texts, many)))
+        runs = runs.unionByName(compare_large(_spans_of(texts.rows, many)))
     spans = runs.groupBy("tid").agg(F.collect_set(F.struct(F.col("first").alias("start"), (F.col("last") + LENGTH).alias("end"))).alias("spans"))
     return materialize(arrow(spans.select(F.col("tid").alias("own"), "spans"), _merged, "own long, spans array<struct<start:long,end:long>>"), "covered")
 
@@ -324,9 +360,9 @@ def _union(spans: list[dict[str, int]] | None) -> list[tuple[int, int]]:
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_bytes, spans (maximal removed runs of bytes) and kept (the remaining bytes) of every row of docs."""
     kind = docs.schema[id_col].dataType.simpleString()
-    cover = covered(docs, text_col)
-    text = F.col(f"`{text_col}`")
-    rows = slim(docs, id_col, text_col).withColumn("tid", F.xxhash64(text, F.octet_length(text))).join(if_small(cover), F.col("tid") == F.col("own"), "left").select(id_col, text_col, "spans")
+    texts = _texts(docs, text_col)
+    cover, text = _covered(texts), F.col(f"`{text_col}`")
+    rows = docs.select(F.col(f"`{id_col}`"), text, _tid(text, texts.clashes).alias("__tid")).join(if_small(cover), F.col("__tid") == F.col("own"), "left").select(id_col, text_col, "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
