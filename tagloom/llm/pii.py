@@ -1,20 +1,19 @@
 """Personal data by candidate gradient boosting, with DataFrame functions only.
 
 Strict patterns with checks (the base) give spans that always stay. Looser generators propose further, overlapping
-candidates: forms that a base pattern swallows in a longer match and then drops, or misses for want of a sign. Boosted
-trees of its kind score a candidate by format and context; a threshold of its kind, calibrated on candidates of another fold for the
-precision PRECISION, selects. A candidate inside a base span of its kind that passes the kind's check is an example for, one outside that
-fails it (Luhn, octets, number of digits) is one against. All others are not labelled: that the base misses a form says nothing against
-it, so neither trees nor thresholds depend on how many of them there are. Forms of emails and phones cannot fail, so for them
-PRECISION is held against nothing of their own kind. No feature tells the sign that the base insists on, so the same form is
-recognised without it. A selected candidate that passes its check is added unless it overlaps a base span or one that was added
-before it (higher scores first, then earlier and longer ones).
+candidates: forms that a base pattern swallows in a longer match and then drops, or misses for want of a sign. The teacher
+is not the base but a check of each kind, which what is no personal data fails now and then: Luhn, octets, an area code that
+no plan gives, a domain that ends in no letters. Real items always pass. Boosted trees of its kind learn, from all candidates of
+the corpus and without seeing the check, how likely a candidate of such a format in such a context is to pass; a threshold of its
+kind, calibrated on candidates of another fold, selects the formats and contexts in which PRECISION of the candidates pass. So
+among numbers of a form that pass by chance none is taken, and whether the base finds a form says nothing for or against it. A selected candidate that passes
+its check is added unless it overlaps a base span or one that was added before it (higher scores first, then earlier and longer ones).
 
 Training sees a table of counts by feature values (a few thousand cells at most, whatever the input), summed over all
 candidates of the corpus; the trees become one SQL expression. Texts are read once.
 
 Edge cases: null counts as empty and has no spans; rows without id are scored as others; repeated rows get a row each;
-a kind of which the held-out fold has fewer than LEAST examples for gets nothing added; texts of any length are processed whole (patterns cannot backtrack past a run).
+equal scores go to the earlier and then the longer candidate; a kind of which the held-out fold has fewer than LEAST candidates gets nothing added; texts of any length are processed whole (patterns cannot backtrack past a run).
 """
 
 from __future__ import annotations
@@ -50,9 +49,10 @@ GENERATORS = [
 ]
 #: A text without a match of these has none of the kind: a quick test.
 MAY_HAVE = {"email": r"@|[\[(](?:at|AT)[\])]", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20.-]?[0-9]){12}", "phone": r"\+[0-9]|[0-9]{3}[)\x20.-]"}
-WORDS = r"(?i)(?:tel|phone|call|fax|mobil|mail|contact|card|visa|account|ip|addr|host|server)"
-FEATURES = ["kind", "luhn", "octets", "digits", "letters", "paren", "dash", "dot", "space", "before", "after", "word"]
-FIELDS = ["kind", "start", "end", "luhn", "octets", "digits", "ok", *FEATURES[4:]]
+#: Words shortly before a candidate that speak of its kind.
+WORDS = {"email": "mail|contact|write", "ip": r"\bip\b|addr|host|server", "card": "card|visa|account|pay", "phone": "tel|phone|call|fax|mobil"}
+FEATURES = ["kind", "digits", "letters", "paren", "dash", "dot", "space", "before", "after", "word", "other"]
+FIELDS = ["kind", "start", "end", "ok", *FEATURES[1:]]
 FOLDS, HELD_OUT = 4, 0
 TREES, RATE, LEAST, PRECISION, SURE = 24, 0.3, 4, 0.95, 0.9
 
@@ -91,6 +91,13 @@ def octets(x: Column) -> Column:
     return x.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$")
 
 
+def plausible(kind: str, x: Column) -> Column:
+    """The check that teaches: that of the base, and for kinds whose generators cannot fail it one of their own."""
+    if kind == "email":
+        return x.rlike(r"[A-Za-z]{2,}$")
+    return valid(kind, x) & ~digits(x).rlike("^[01]") if kind == "phone" else valid(kind, x)
+
+
 def valid(kind: str, x: Column) -> Column:
     if kind == "ip":
         return octets(x)
@@ -128,13 +135,14 @@ def _char(x: Column) -> Column:
 def _describe(text: Column, k: int) -> Callable[[Column], Column]:
     def describe(m: Column) -> Column:
         x = m["text"]
-        ahead = F.substring(text, F.greatest(m["start"] - 23, F.lit(1)), F.least(m["start"], F.lit(24)))
+        ahead = F.lower(F.substring(text, F.greatest(m["start"] - 23, F.lit(1)), F.least(m["start"], F.lit(24))))
+        others = "|".join(w for kind, w in WORDS.items() if kind != KINDS[k])
         values = {
-            "kind": F.lit(k), "start": m["start"], "end": m["end"], "luhn": luhn(x), "octets": octets(x), "digits": F.least(F.length(digits(x)), F.lit(20)),
-            "ok": valid(KINDS[k], x), "letters": x.rlike("[A-Za-z]"), "paren": F.contains(x, F.lit("(")), "dash": F.contains(x, F.lit("-")), "dot": F.contains(x, F.lit(".")), "space": F.contains(x, F.lit(" ")),
-            "before": _char(F.when(m["start"] > 0, F.substring(text, m["start"], F.lit(1))).otherwise("")), "after": _char(F.substring(text, m["end"] + 1, F.lit(1))), "word": ahead.rlike(WORDS),
+            "kind": F.lit(k), "start": m["start"], "end": m["end"], "digits": F.least(F.length(digits(x)), F.lit(20)),
+            "ok": plausible(KINDS[k], x), "letters": x.rlike("[A-Za-z]"), "paren": F.contains(x, F.lit("(")), "dash": F.contains(x, F.lit("-")), "dot": F.contains(x, F.lit(".")), "space": F.contains(x, F.lit(" ")),
+            "before": _char(F.when(m["start"] > 0, F.substring(text, m["start"], F.lit(1))).otherwise("")), "after": _char(F.substring(text, m["end"] + 1, F.lit(1))), "word": ahead.rlike(WORDS[KINDS[k]]), "other": ahead.rlike(others),
         }
-        return F.struct(*(v.cast("int").alias(n) for n, v in values.items()))
+        return F.struct(*(values[x].cast("int").alias(x) for x in FIELDS))
 
     return describe
 
@@ -170,7 +178,7 @@ class Split:
         return side.of(x) if isinstance(side, Split) else side.value
 
 
-Cell = tuple[tuple[int, ...], int, int]  # feature values, candidates, examples for
+Cell = tuple[tuple[int, ...], int, int]  # feature values, candidates, those that pass
 
 
 def _grow(rows: list[tuple[tuple[int, ...], float, float]], depth: int) -> Split | Leaf:
@@ -211,7 +219,7 @@ class Model:
 
 
 def boost(cells: list[Cell]) -> Model | None:
-    """None without examples for; without any against, no trees."""
+    """None if no candidate passes; if all do, no trees."""
     total, right = sum(n for _, n, _ in cells), sum(y for _, _, y in cells)
     if not right:
         return None
@@ -233,7 +241,7 @@ def boost(cells: list[Cell]) -> Model | None:
 
 
 def calibrate(models: list[Model | None], cells: list[Cell]) -> list[float]:
-    """For each kind the least score, of probability SURE or more, from which on PRECISION of the candidates are examples for; infinite if none is. models: by kind."""
+    """For each kind the least score, of probability SURE or more, from which on PRECISION of the candidates pass; infinite if none is. models: by kind."""
     out = []
     for k, model in enumerate(models):
         scored = sorted(((model.of(x), n, y) for x, n, y in cells if x[0] == k), reverse=True) if model else []
@@ -248,11 +256,7 @@ def calibrate(models: list[Model | None], cells: list[Cell]) -> list[float]:
 
 def _learn(found: DataFrame) -> tuple[str, str] | None:
     """SQL for the score of a candidate `c` and for whether it is selected; None if nothing is."""
-    inside = F.exists("base", lambda b: (b["kind"] == F.col("c.kind")) & (b["start"] <= F.col("c.start")) & (b["end"] >= F.col("c.end")))
-    ok = F.col("c.ok") == 1
-    label = F.when(inside & ok, 1).when(~inside & ~ok, 0).cast("long")
-    rows = found.select("fold", "base", F.explode("candidates").alias("c")).select(
-        (F.col("fold") == HELD_OUT).alias("held"), *(F.col(f"c.{x}") for x in FEATURES), label.alias("y")).where("y IS NOT NULL")
+    rows = found.select("fold", F.explode("candidates").alias("c")).select((F.col("fold") == HELD_OUT).alias("held"), *(F.col(f"c.{x}") for x in FEATURES), F.col("c.ok").cast("long").alias("y"))
     cells = rows.groupBy("held", *FEATURES).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y")).collect()  # bounded by the features' values
     by = {held: sorted((tuple(r[x] for x in FEATURES), r["n"], r["y"]) for r in cells if r["held"] == held) for held in (False, True)}
     models = [boost([c for c in by[False] if c[0][0] == k]) for k in range(len(KINDS))]  # what fails a check of one kind says nothing of another
@@ -303,7 +307,7 @@ def _named(spans: str) -> Column:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op9: the personal data of every text of `documents`. The counts are of base spans."""
+    """op9: the personal data of every text of `documents`. The counts by kind are of base spans; n_spans counts the added ones, too."""
     out = personal_data(table(spark, sf_dir, "documents"))
     counts = [F.expr(f"cast(size(filter(base, s -> s.kind = {k})) as long)").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
-    return out.select("doc_id", *counts, F.sha2(_named("base").cast("binary"), 256).alias("base_sha256"), _named("spans").alias("spans"))
+    return out.select("doc_id", *counts, F.sha2(_named("base").cast("binary"), 256).alias("base_sha256"), _named("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
