@@ -1,16 +1,17 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
 The index is partitioned by document: a row holds, for one document, the terms that any benchmark item uses and the
-sorted positions of each (its postings). It is written once, where the texts are read, without a shuffle. Document
+sorted positions of each (its postings). It is written once for the whole benchmark, where the texts are read, without a shuffle. Document
 frequencies are summed over the whole corpus, so that every window of an item knows its rarest terms. A window is found
 by taking the postings of its rarest term, moving them back by the term's place in the window, and intersecting them with the
 moved postings of the next rarest term, and so on: what is left are the starts of exact occurrences.
 `proximity` finds all terms of a query within a span, also from the rarest term's postings.
 
 The benchmark is handled in blocks of BLOCK_WORDS words, each broadcast; a larger benchmark means more blocks, not a
-larger broadcast. Hits of several blocks meet by document id.
+larger broadcast, and an item that is larger than a block goes in several. All blocks search the one index, as long as the benchmark has
+VOCABULARY different words at most; beyond, each block has an index of its own terms. Hits of several blocks meet by document id.
 
-Edge cases: null and empty texts have no words and no hits; items without words are left out; items of fewer words than a
+Edge cases: documents without id are reported like others, by their text where several blocks have hits; null and empty texts have no words and no hits; items without words are left out; items of fewer words than a
 window are one window; items with the same id count once; repeated documents are reported each; an empty benchmark hits nothing.
 """
 
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tagloom.llm.common import arrow, as_bytes, materialize, slim, table
 
-WINDOW, BLOCK_WORDS = 10, 500_000
+WINDOW, BLOCK_WORDS, VOCABULARY = 10, 500_000, 1_000_000
 #: Bytes that are no part of a word become spaces; A-Z become a-z.
 _TO_WORDS = bytes(
     c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256)
@@ -54,21 +55,40 @@ class Block:
                 items.append(item)
 
 
-def blocks(benchmark: DataFrame, window: int, id_col: str = "item_id", text_col: str = "text") -> Iterator[Block]:
-    """Items in blocks of about BLOCK_WORDS words, read one partition at a time. An item stays in one block."""
-    block, n = Block(), 0
+def blocks(benchmark: DataFrame, window: int, terms: dict[bytes, int] | None, id_col: str = "item_id", text_col: str = "text") -> Iterator[Block]:
+    """Items in blocks of about BLOCK_WORDS words, read one partition at a time. The pieces of a larger item overlap, so that
+    no window is lost. terms: the numbers that all blocks share; None: each block has its own."""
+
+    def fresh() -> Block:
+        return Block({} if terms is None else terms)
+
+    block, n = fresh(), 0
     for row in slim(benchmark, id_col, text_col).toLocalIterator():
-        tokens = words((row[1] or "").encode())
-        if tokens and row[0] is not None:
-            block.add(str(row[0]), tokens, window)
-            n += len(tokens)
+        tokens = words((row[1] or "").encode()) if row[0] is not None else []
+        step = max(window, BLOCK_WORDS)
+        for at in range(0, max(1, len(tokens) - window + 1), step) if tokens else ():
+            piece = tokens[at : at + step + window - 1]
+            block.add(str(row[0]), piece, window)
+            n += len(piece)
             if n >= BLOCK_WORDS:
                 yield block
-                block, n = Block(), 0
+                block, n = fresh(), 0
     if n:
         yield block
 
 
+def vocabulary(benchmark: DataFrame, text_col: str = "text") -> dict[bytes, int] | None:
+    """Numbers of all different words of the benchmark; None if there are more than VOCABULARY."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = {w for text in as_bytes(batch.column(0)) for w in words(text)}
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary())], ["word"])
+
+    rows = arrow(slim(benchmark, text_col), run, "word binary").distinct().limit(VOCABULARY + 1).collect()
+    return {w: i for i, w in enumerate(sorted(bytes(r.word) for r in rows))} if len(rows) <= VOCABULARY else None
+
+
 def build_index(docs: DataFrame, terms: dict[bytes, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, terms, ends, positions, digest): the postings of a document as int32 arrays in bytes.
 
@@ -190,10 +210,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
     """id, n_words, spans (disjoint spans of hit words) and items (ids of items with occurring windows) of every row of docs."""
     kind = docs.schema[id_col].dataType.simpleString()
     schema = HITS.format(kind=kind)
-    parts = []
-    for block in blocks(benchmark, window) if docs.columns else ():
-        index = materialize(build_index(docs, block.terms, id_col, text_col), "postings")
-        plan = docs.sparkSession.sparkContext.broadcast(Plan(block, frequencies(index, len(block.terms))))
+    parts, index, found = [], None, None
+    terms = vocabulary(benchmark)
+    for block in blocks(benchmark, window, terms):
+        if index is None or terms is None:
+            index = materialize(build_index(docs, block.terms, id_col, text_col), "postings")
+            found = frequencies(index, len(block.terms))
+        plan = docs.sparkSession.sparkContext.broadcast(Plan(block, found))
 
         def run(batches: Iterator[pa.RecordBatch], plan=plan) -> Iterator[pa.RecordBatch]:
             for batch in batches:
