@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tagloom.llm import byte_bpe, decontamination, exact_dedup, jaccard_join, toxicity
-from tagloom.llm.common import materialize, table
+from tagloom.llm.common import materialize, scratch, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -38,7 +38,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and ids of every document, and the digest of the bytes that the ids decode to."""
-    return byte_bpe.round_trip(docs, *byte_bpe.public_vocabulary(), memory=80_000)  # executors still hold what earlier stages used
+    return byte_bpe.round_trip(docs, *byte_bpe.public_vocabulary(), memory=30_000)  # executors still hold what earlier stages used
 
 
 STAGES: list[tuple[str, Stage]] = [
@@ -53,8 +53,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a folder. Each but the last is written, as the next reads it more than once."""
+    """All stages over the documents of a folder. Each but the last is written, as the next reads it more than once; what a stage has
+    written besides goes when it ends."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch() as keep:
+            docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            keep(docs)
     return STAGES[-1][1](spark, docs, sf_dir)

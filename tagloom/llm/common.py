@@ -6,10 +6,12 @@ import atexit
 import ctypes
 import gc
 import hashlib
+import re
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager, suppress
 from pathlib import PurePosixPath
+from tempfile import gettempdir
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +20,9 @@ from pyspark.sql import functions as F
 
 #: Largest table, in bytes, that an operator sends to all executors.
 BROADCAST_LIMIT = 64 << 20
-_LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+#: Folder of tests and other runs in one process, where spark.checkpoint.dir is unset.
+_LOCAL_CHECKPOINTS = f"{gettempdir()}/tagloom-checkpoints"
+_tables: dict[str, SparkSession] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,23 +31,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only where all run in one process may it be unset (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return (at or _LOCAL_CHECKPOINTS).rstrip("/")
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage of df: write it as Parquet in the shared folder and read it again.
 
-    The files outlive executors, so a lost executor costs only its running tasks. They go when the driver exits.
+    The files outlive executors, so a lost executor costs only its running tasks. They go with the scratch() that they
+    were written in, or when the driver exits.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tagloom/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    _tables[path] = spark
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], None]]:
+    """Tables that materialize() writes inside are deleted at the end, but for those that were passed to what this gives."""
+    before, kept = set(_tables), []
+    try:
+        yield kept.append
+    finally:
+        used = {PurePosixPath(f.replace("://", ":/", 1)).parent.name for df in kept for f in df.inputFiles()}
+        for path in [p for p in _tables if p not in before and p.rpartition("/")[2] not in used]:
+            _remove(_tables.pop(path), path)
+
+
+@atexit.register
+def _remove_all() -> None:
+    for path, spark in _tables.items():
+        _remove(spark, path)
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
     """What is run inside sends at most so many rows to Python at once: for rows that hold large values."""
@@ -84,6 +109,8 @@ def slim(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(*(F.col(f"`{c}`") for c in cols))
 
 
+#: Rows that go to Python at once.
+BATCH = 2000
 #: Rows of a batch that become Python objects at once.
 SLICE = 1000
 
@@ -103,7 +130,11 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.
 
 
 def arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, rows: int = SLICE) -> DataFrame:
-    """mapInArrow, a few rows at a time; a task gives its memory back when it ends."""
+    """mapInArrow, a few rows at a time; a task gives its memory back when it ends. Rows hold whole documents, so the session's batches are
+    kept at BATCH rows from the first use on: larger ones stay in the buffers of executors."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH:
+        conf.set(key, BATCH)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
@@ -149,6 +180,12 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def picked(texts: DataFrame, id_col: str, n: int) -> DataFrame:
+    """(id, __hash) of the n different rows whose id's hash is smallest; __hash is one of the text."""
+    rows = slim(texts, id_col, "__hash").distinct()
+    return rows.orderBy(F.xxhash64(F.col(f"`{id_col}`").cast("string")), id_col, "__hash").limit(n)
+
+
 def crc_mod(col: str, n: int):
     """crc32 of the id as text, modulo n: the fold of a row. A null id is in fold -1, so never held out."""
     return F.coalesce(F.crc32(F.col(f"`{col}`").cast("string").cast("binary")) % F.lit(n), F.lit(-1)).cast("int")

@@ -1,7 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic examples (P) and unlabelled text (U) train a numpy classifier; no negative label is used. With class
-prior pi, the risk is pi E_P[l(z,1)] + max(0, E_U[l(z,-1)] - pi E_P[l(z,-1)]) for the logistic loss l; when the
+Confirmed toxic examples (P) and unlabelled text (U) train a numpy classifier; which texts are labelled negative is not used, only
+how many labels are toxic, which gives the class prior (held within PRIORS). With class prior pi, the risk is pi E_P[l(z,1)] + max(0, E_U[l(z,-1)] - pi E_P[l(z,-1)]) for the logistic loss l; when the
 bracket falls below zero, the step goes the other way (it pushes the bracket up again).
 
 Features: a word's evidence is pi times its rate in P over its rate in U, the share of its uses that lie in toxic
@@ -9,11 +9,12 @@ texts; a word takes the best of itself and its beginnings of four to seven lette
 evidence; the counts and their shares of the text are what the classifier sees: a text without evidence scores as an empty one. Evidence is taken from one half
 of the sample for the texts of the other half, so that the classifier meets evidence as reliable as it will be later.
 
-The model is fitted on a bounded sample: SAMPLE_POSITIVE and SAMPLE_UNLABELLED rows, those of smallest hash, none over
-SAMPLE_CHARS. The prior is taken from all labels outside the held-out fold. Every text is scored whole.
+The model is fitted on a bounded sample: SAMPLE_POSITIVE and SAMPLE_UNLABELLED different rows, those of smallest hash among the
+rows of up to SAMPLE_CHARS characters. The prior is taken from all labels outside the held-out fold. Every text is scored whole.
 
 Edge cases: null and empty texts have no words and get the score of an empty text; without toxic examples or
-unlabelled text every score is 0; a null id is never held out and never learnt from; repeated rows are scored each.
+unlabelled text every score is 0; a null id is never held out and never learnt from; repeated rows are scored each and learnt
+from once; rows of one id with different texts are rows of their own; equal hashes are picked by id and text.
 """
 
 from __future__ import annotations
@@ -28,10 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import crc_mod, per_batch, slim, table
+from tagloom.llm.common import crc_mod, per_batch, picked, slim, table
 
 SAMPLE_POSITIVE, SAMPLE_UNLABELLED, SAMPLE_CHARS = 1500, 3000, 200_000
 FOLDS, HELD_OUT, THRESHOLD = 3, 1, 0.7
+#: Bounds of the class prior: at more than a half, unlabelled text says nothing of what is usual.
+PRIORS = (0.001, 0.5)
 STEMS = (4, 5, 6, 7)
 LEVELS = np.array([0.3, 0.5, 0.7, 0.9])
 #: A feature needs this many toxic examples.
@@ -128,7 +131,7 @@ class Model:
 def fit(positive: list[str], unlabelled: list[str], prior: float) -> Model:
     if not positive or not unlabelled:
         return Model({}, np.zeros(0), np.ones(0), None)
-    prior = min(max(prior, 0.001), 0.5)
+    prior = min(max(prior, PRIORS[0]), PRIORS[1])
     sides = []
     for texts in (positive, unlabelled):
         halves = [[], []]
@@ -146,15 +149,15 @@ def fit(positive: list[str], unlabelled: list[str], prior: float) -> Model:
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on rows outside the held-out fold: labels (doc_id, toxic) name the confirmed examples."""
     seen = crc_mod(id_col, FOLDS).isin([x for x in range(FOLDS) if x != HELD_OUT])
-    first = F.xxhash64(F.col(f"`{id_col}`").cast("string"))
     known = slim(labels, "doc_id", "toxic").withColumnRenamed("doc_id", id_col).where(seen & F.col("toxic").isNotNull())
     prior = known.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0] or 0.0
-    texts = slim(docs, id_col, text_col).where(seen)
-    pick = known.where("toxic = 1").select(id_col).distinct().orderBy(first, id_col).limit(SAMPLE_POSITIVE).withColumn("p", F.lit(1)).unionByName(
-        texts.select(id_col).orderBy(first, id_col).limit(SAMPLE_UNLABELLED).distinct().withColumn("p", F.lit(0)))
-    # at most SAMPLE_POSITIVE + SAMPLE_UNLABELLED ids to the tasks, as many texts to the driver
-    got = texts.where(F.length(text_col) <= SAMPLE_CHARS).join(F.broadcast(pick), id_col).select("p", text_col).collect()
-    return fit(sorted(r[1] for r in got if r[0]), sorted(r[1] for r in got if not r[0]), prior)
+    texts = slim(docs, id_col, text_col).where(seen & (F.length(text_col) <= SAMPLE_CHARS)).withColumn("__hash", F.xxhash64(text_col))
+    toxic = known.where("toxic = 1").select(id_col).distinct()
+    positive = picked(texts.join(toxic, id_col, "left_semi"), id_col, SAMPLE_POSITIVE)
+    pick = positive.withColumn("p", F.lit(1)).unionByName(picked(texts, id_col, SAMPLE_UNLABELLED).withColumn("p", F.lit(0)))
+    # at most SAMPLE_POSITIVE + SAMPLE_UNLABELLED rows to the tasks, as many texts to the driver
+    got = texts.join(F.broadcast(pick), [id_col, "__hash"]).groupBy("p", id_col, "__hash").agg(F.first(text_col)).collect()
+    return fit(sorted(r[3] for r in got if r[0]), sorted(r[3] for r in got if not r[0]), prior)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
