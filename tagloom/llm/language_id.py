@@ -1,8 +1,7 @@
 """Language identification by words first, backing off to character n-grams.
 
 A word that training saw is scored by its log frequency in each language. A word it did not see is scored by
-character n-grams: from left to right the longest n-gram that training saw, from LONGEST letters down to one, and then the
-next behind it (they do not overlap). A text's
+character n-grams: at every position the longest n-gram that training saw, from LONGEST letters down to one (they overlap). A text's
 score for a language is the sum over its words; the prediction is the largest, and its score is that language's
 posterior at a temperature that grows with the square root of the number of words.
 
@@ -51,19 +50,22 @@ class Model:
     langs: list[str] = field(default_factory=list)
     words: dict[str, np.ndarray] = field(default_factory=dict)
     grams: dict[str, np.ndarray] = field(default_factory=dict)
+    places: dict[str, int] = field(default_factory=dict)  # of the n-grams in one table
+    table: np.ndarray | None = None
 
     def word(self, word: str) -> np.ndarray:
         if (known := self.words.get(word)) is not None:
             return known
-        total, w, i = np.zeros(len(self.langs)), f"<{word}>", 0
-        while i < len(w):
+        if self.table is None:
+            self.places = {g: i for i, g in enumerate(self.grams)}
+            self.table = np.array([*self.grams.values(), np.zeros(len(self.langs))])
+        w, places, found = f"<{word}>", self.places, []
+        for i in range(len(w)):
             for n in range(min(LONGEST, len(w) - i), 0, -1):
-                if (known := self.grams.get(w[i : i + n])) is not None:
-                    total += known
-                    i += n - 1
+                if (at := places.get(w[i : i + n])) is not None:
+                    found.append(at)
                     break
-            i += 1
-        return total
+        return self.table[found].sum(0) if found else self.table[-1]
 
 
 def _tables(counts: list[Counter[str]], least: int) -> dict[str, np.ndarray]:

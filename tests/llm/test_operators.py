@@ -274,6 +274,20 @@ def test_decontamination(spark, mixed, block, monkeypatch):
     assert left == {i for i, r in found.items() if not r.items}
 
 
+@pytest.mark.parametrize(("block", "vocabulary"), [(500_000, 1_000_000), (12, 1_000_000), (12, 3)])
+def test_decontamination_of_rows_without_id_and_repeated_ones(spark, block, vocabulary, monkeypatch):
+    monkeypatch.setattr(decontamination, "BLOCK_WORDS", block)
+    monkeypatch.setattr(decontamination, "VOCABULARY", vocabulary)
+    long = " ".join(f"w{k}" for k in range(60))  # an item of several blocks
+    items = spark.createDataFrame([("a", long), ("b", "one two three"), ("c", " ".join(f"v{k}" for k in range(11)))], "item_id string, text string")
+    part = " ".join(f"w{k}" for k in range(7, 40))
+    texts = [(None, part), (None, "one two three v0"), (4, part), (4, part), (4, "clean"), (5, part + " x one two three"), (6, " ".join(f"v{k}" for k in range(10)))]
+    rows = Counter((r.doc_id, r.n_words, tuple((s.start, s.end) for s in r.spans), tuple(r["items"])) for r in decontamination.decontaminate(documents(spark, texts), items).collect())
+    assert rows == Counter([
+        (None, 33, ((0, 33),), ("a",)), (None, 4, ((0, 3),), ("b",)), (4, 33, ((0, 33),), ("a",)), (4, 33, ((0, 33),), ("a",)), (4, 1, (), ()), (5, 37, ((0, 33), (34, 37)), ("a", "b")),
+        (6, 10, ((0, 10),), ("c",))])
+
+
 def test_proximity(spark):
     got = decontamination.proximity(documents(spark, ["a x y b", "b a", "a x x x x b", None]), ["a b", "nothing b"], 4).collect()
     assert sorted((r.doc_id, r.query) for r in got) == [(0, "a b"), (1, "a b")]
@@ -313,6 +327,30 @@ def test_suffix(spark, mixed, group, monkeypatch):
     assert sum(w[1] for w in want) > 5000
 
 
+def test_suffix_of_rows_without_id_and_texts_in_pieces(spark, monkeypatch):
+    rng = random.Random(15)
+    p = "".join(rng.choices("abcdefgh ", k=300))
+    texts = [(None, p), (3, p + "x"), (3, "y" + p), (None, None), (7, "z" * 250), (7, "q" * 100)]
+    got = Counter((r.doc_id, r.n_bytes, bytes(r.kept)) for r in suffix_dedup.suffix_dedup(documents(spark, texts)).collect())
+    assert got == Counter([(i, n, kept) for (i, _), (n, _, _, kept) in zip(texts, plain_suffix([t for _, t in texts]), strict=True)])
+    long = bytes(rng.choices(b"abcdefgh ", k=9000))
+    whole = suffix_dedup.anchors(long)
+    monkeypatch.setattr(suffix_dedup, "PLACE", 10)  # pieces of a thousand places
+    pieces = suffix_dedup.anchors(long)
+    for _, _, place, first, last in (whole, pieces):  # every string has one anchor, inside of it; first and last are distances
+        assert sorted(x for p, a, b in zip(place, first, last, strict=True) for x in range(p - a, p - b + 1)) == list(range(len(long) - 199))
+        assert ((last >= 0) & (first + suffix_dedup.K <= 200)).all()
+
+
+def test_suffix_texts_whose_hashes_clash(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "_tid", lambda text, clashes: suffix_dedup.F.when(suffix_dedup.F.lit(5).isin(clashes or [0]), suffix_dedup._other(text)).otherwise(suffix_dedup.F.lit(5).cast("long")))
+    rng = random.Random(16)
+    p = "".join(rng.choices("abcdefgh ", k=300))
+    texts = [p + "x", "y" + p, "".join(rng.choices("abcdefgh ", k=400)), "short"]
+    got = by_id(suffix_dedup.suffix_dedup(documents(spark, texts)))
+    assert [bytes(got[i].kept) for i in range(4)] == [w[3] for w in plain_suffix(texts)]
+
+
 # line dedup
 
 def test_lines(spark):
@@ -543,6 +581,35 @@ def test_language(spark):
     assert {r.lang_pred for r in language_id.language_id(documents(spark, ["abc"])).collect()} == {"und"}
 
 
+def test_learnt_operators_pick_rows_they_can_use(spark, monkeypatch):
+    """Ids of the smallest hashes whose texts are null or too long do not use up the sample; repeated rows are learnt from once."""
+    rng = random.Random(17)
+    vocabulary = {x: ["".join(rng.choices(s, k=rng.randint(3, 7))) for _ in range(80)] for x, s in (("aa", "abcde"), ("bb", "fghij"), ("cc", "klmno"))}
+    monkeypatch.setattr(language_id, "SAMPLE", 12)
+    monkeypatch.setattr(language_id, "SAMPLE_CHARS", 400)
+    texts, langs = [], {}
+    for i in range(240):
+        lang = ("aa", "bb", "cc")[i % 3]
+        langs[i] = lang
+        words = rng.choices(vocabulary[lang], k=200 if lang == "cc" or i % 2 else 20)  # all of cc and half of the rest are too long
+        texts.append((i, None if i % 12 == 0 else " ".join(words)))
+    texts += [texts[1]] * 60
+    docs = documents(spark, texts, langs)
+    model = language_id.learn(docs)
+    assert model.langs == ["aa", "bb", "cc"]
+    got = Counter((r.doc_id, r.lang_pred) for r in language_id.language_id(docs).collect())
+    assert sum(got.values()) == len(texts) and got[1, "bb"] == 61
+    assert all(p == langs[i] for (i, p), _ in got.items() if i % 12)
+    monkeypatch.setattr(toxicity, "SAMPLE_UNLABELLED", 30)
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 400)
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda p, u, prior: seen.append((p, u, prior)) or toxicity.Model({}, toxicity.np.zeros(0), toxicity.np.ones(0), None))
+    toxicity.learn(docs, spark.createDataFrame([(i, int(i % 4 == 1)) for i in range(240)] * 2, "doc_id long, toxic int"))
+    (positive, unlabelled, prior), short = seen[0], {t for i, t in texts if t and len(t) <= 400 and zlib.crc32(str(i).encode()) % 3 != 1}
+    assert len(unlabelled) == 30 and set(unlabelled) <= short and len(set(unlabelled)) == 30
+    assert set(positive) == {t for i, t in texts if t in short and i % 4 == 1} and len(positive) == len(set(positive)) and 0.15 < prior < 0.35
+
+
 # all
 
 def test_empty_tables(spark):
