@@ -75,4 +75,6 @@ def local_of(name: Column) -> Column:
 
 def last_wins(entries: Column) -> Column:
     """Entries (name, ...) without those whose name comes again later."""
-    return F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["name"] == e["name"]))
+    names = F.transform(entries, lambda e: e["name"])
+    kept = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["name"] == e["name"]))
+    return F.when((F.size(entries) < 2) | (F.size(F.array_distinct(names)) == F.size(entries)), entries).otherwise(kept)

@@ -50,14 +50,15 @@ _STREAM_END = rf"^</({NAME}+)[{SPACE}]*>\z"
 
 
 def tokens(docs: DataFrame, options: ParserOptions, id_col: str = "doc_id", xml_col: str = "xml") -> DataFrame:
-    """(doc_id, at, piece, kind, name, attrs, closed, inner, fault): inner is the text of an element that is one token (which is closed,
-    then), fault the error that the token is by itself."""
+    """(doc_id, declares, at, piece, kind, name, attrs, closed, inner, fault): inner is the text of an element that is one token (which is closed,
+    then), fault the error that the token is by itself, declares whether the document may have declarations of namespaces."""
     d = options.dialect
     # documents move, not their tokens: what follows keeps this partitioning
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{xml_col}`"), F.lit("")).alias("xml")).repartition("doc_id")
+    xml = F.coalesce(F.col(f"`{xml_col}`"), F.lit(""))
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), xml.alias("xml"), F.contains(xml, F.lit("xmlns")).alias("declares")).repartition("doc_id")
     found = F.regexp_extract_all(F.col("xml"), F.lit(LEAVES[d] + PATTERNS[d]), F.lit(0))
     pieces = F.concat(F.array(F.lit(None).cast("string")), found, F.array(F.lit(None).cast("string")))
-    rows = rows.select("doc_id", F.posexplode(pieces).alias("at", "piece"))
+    rows = rows.select("doc_id", "declares", F.posexplode(pieces).alias("at", "piece"))
     rows = rows.withColumn("kind", F.when(F.col("piece").isNotNull(), kind(F.col("piece"), d)).when(F.col("at") == 0, FIRST).otherwise(LAST)).where(F.col("kind") != SKIP)
     piece, k = F.col("piece"), F.col("kind")
     # no other start tag has a `>` before its end but in quotes
@@ -73,5 +74,5 @@ def tokens(docs: DataFrame, options: ParserOptions, id_col: str = "doc_id", xml_
         end_name = F.regexp_extract(piece, _STREAM_END, 1)
         fault = F.when((k == START) & ~leaf & ~piece.rlike(_STREAM_START), "Malformed start tag").when((k == END) & ~piece.rlike(_STREAM_END), "Malformed closing tag")
     return rows.select(
-        "doc_id", F.col("at").cast("long").alias("at"), "piece", "kind", F.when(leaf, own).when(k == START, name).when(k == END, end_name).alias("name"),
+        "doc_id", "declares", F.col("at").cast("long").alias("at"), "piece", "kind", F.when(leaf, own).when(k == START, name).when(k == END, end_name).alias("name"),
         F.when(leaf, "").when(k == START, attrs).alias("attrs"), F.coalesce(leaf | (k == START) & closed, F.lit(False)).alias("closed"), F.when(leaf, inner).alias("inner"), fault.alias("fault"))

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from tagloom.operators.lexer import END, FIRST, LAST, OPEN, RAW, START, TEXT
 from tagloom.schema import ParserOptions
 
+#: What a document is told by in windows: its id, and a fact of its text that conditions can be pushed down by.
+DOCUMENT = ["doc_id", "declares"]
 #: Error messages.
 NOT_CLOSED = "Unexpected end of document. Not all elements were closed."
 UNKNOWN_MARKUP = "Unrecognized markup declaration"
@@ -27,7 +29,7 @@ def levels(tokens: DataFrame, *more: Column) -> DataFrame:
     """With depth (elements open after the token), level (that of the tag's element, 1 for a root), and rest: what follows an open `<`.
     more: further columns of the same sort."""
     step = F.when((F.col("kind") == START) & ~F.col("closed"), 1).when(F.col("kind") == END, -1).otherwise(0)
-    order = Window.partitionBy("doc_id").orderBy("at")
+    order = Window.partitionBy(*DOCUMENT).orderBy("at")
     after = F.lead(F.when(F.col("kind") == LAST, F.lit("")).otherwise(F.col("piece"))).over(order)
     depth = F.sum(step).over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int")
     rows = tokens.select("*", depth.alias("depth"), F.when(F.col("kind") == OPEN, after).alias("rest"), *more)
@@ -39,7 +41,7 @@ def events_before(*order: str) -> Column:
     """The number of events before a token's own."""
     kind, told = F.col("kind"), F.when(F.col("blank"), 0).otherwise(1)
     n = F.when(kind == TEXT, told).when(F.col("inner").isNotNull(), told + 2).when((kind == START) & F.col("closed"), 2).otherwise(1)
-    return F.coalesce(F.sum(n).over(Window.partitionBy("doc_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    return F.coalesce(F.sum(n).over(Window.partitionBy(*DOCUMENT).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
 
 
 def text_runs(rows: DataFrame) -> DataFrame:
@@ -48,18 +50,18 @@ def text_runs(rows: DataFrame) -> DataFrame:
     With run and class to order by. Text that waits for markup that never ends inside of an element is not told, and nothing behind an open `<` is.
     A run of tokens is one row for a moment, so that its texts are joined once.
     """
-    up_to = Window.partitionBy("doc_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    up_to = Window.partitionBy(*DOCUMENT).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("run", F.sum(F.col("kind").isin(START, END).cast("long")).over(up_to))
     rows = rows.withColumn("opened", F.sum((F.col("kind") == OPEN).cast("int")).over(up_to)).where((F.col("opened") == 0) | (F.col("opened") == 1) & (F.col("kind") == OPEN))
-    is_text, fields = F.col("kind") == TEXT, [c for c in rows.columns if c not in ("doc_id", "run", "opened")]
+    is_text, fields = F.col("kind") == TEXT, [c for c in rows.columns if c not in (*DOCUMENT, "run", "opened")]
     waits = (F.col("kind") == OPEN) & (F.col("depth") > 0) & F.col("rest").rlike(r"^(?:!--|!\[CDATA\[|\?)")
     whole = F.struct(*fields)
-    runs = rows.groupBy("doc_id", "run").agg(
+    runs = rows.groupBy(*DOCUMENT, "run").agg(
         F.collect_list(F.when(~is_text, whole)).alias("others"), F.collect_list(F.when(is_text, F.struct("at", "piece"))).alias("texts"),
         F.max_by(F.when(is_text, whole), F.when(is_text, F.col("at"))).alias("text"), F.max(waits).alias("waits"))
     text = F.when(F.size("texts") == 1, F.col("text")).otherwise(F.col("text").withField("piece", F.array_join(F.transform(F.array_sort("texts"), lambda t: t["piece"]), "")))
     each = F.when((F.size("texts") > 0) & ~F.col("waits"), F.concat("others", F.array(text))).otherwise(F.col("others"))
-    rows = runs.select("doc_id", "run", F.explode(each).alias("t")).select("doc_id", "run", "t.*")
+    rows = runs.select(*DOCUMENT, "run", F.explode(each).alias("t")).select(*DOCUMENT, "run", "t.*")
     kind = F.col("kind")
     return rows.withColumn("class", F.when(kind == FIRST, -1).when(kind.isin(START, END), 0).when(kind == RAW, 1).when(kind == TEXT, 2).otherwise(3))
 
@@ -72,11 +74,11 @@ def placed(rows: DataFrame, *order: str) -> DataFrame:
     and the next one on its level.
     """
     kind, opens = F.col("kind"), (F.col("kind") == START) & ~F.col("closed")
-    ahead = Window.partitionBy("doc_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy(*DOCUMENT).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     tag = F.last(F.when(kind.isin(START, END), F.struct(F.when(opens, F.col("seq")).alias("opener"))), ignorenulls=True).over(ahead)
     rows = rows.withColumn("below", F.when(kind == START, tag["opener"]))
     # an end tag opens nothing, so that its own row may be looked at, too
-    so_far = Window.partitionBy("doc_id", "level").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    so_far = Window.partitionBy(*DOCUMENT, "level").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
 
     def last(x: Column) -> Column:
         return F.last(x, ignorenulls=True).over(so_far)
@@ -103,5 +105,5 @@ def faults(rows: DataFrame, options: ParserOptions) -> DataFrame:
 
 def cut(rows: DataFrame) -> DataFrame:
     """Tokens up to the first fault, that one included."""
-    first = F.min(F.when(F.col("fault").isNotNull(), F.col("at"))).over(Window.partitionBy("doc_id"))
+    first = F.min(F.when(F.col("fault").isNotNull(), F.col("at"))).over(Window.partitionBy(*DOCUMENT))
     return rows.withColumn("failed_at", first).where(F.col("failed_at").isNull() | (F.col("at") <= F.col("failed_at"))).drop("failed_at")

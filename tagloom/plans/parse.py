@@ -37,9 +37,9 @@ def _resolved(rows: DataFrame, options: ParserOptions) -> DataFrame:
     return rows.join(found, ["doc_id", "at"], "left")
 
 
-def _infos(options: ParserOptions, resolve: bool) -> Column:
+def _infos(options: ParserOptions) -> Column:
     """Entries of attributes_with_prefix."""
-    uri = (lambda i: F.element_at("uris", i)) if resolve else (lambda i: F.lit(None).cast("string"))
+    uri = lambda i: F.element_at("uris", i)
     stream = options.dialect == "stream"
 
     def info(a: Column, i: Column) -> Column:
@@ -63,14 +63,6 @@ def parse_xml(docs: DataFrame, options: ParserOptions = ParserOptions(), id_col:
     """
     if docs.schema[xml_col].dataType.typeName() == "binary":
         docs = docs.withColumn(xml_col, decoded(F.col(f"`{xml_col}`"), options.encoding))
-    if not options.namespaces:
-        return _parse(docs, options, False, id_col, xml_col)
-    # resolving looks at tags twice, so documents without declarations go another way: there, no prefix has a uri
-    declares = F.coalesce(F.contains(F.col(f"`{xml_col}`"), F.lit("xmlns")), F.lit(False))
-    return _parse(docs.where(~declares), options, False, id_col, xml_col).unionByName(_parse(docs.where(declares), options, True, id_col, xml_col))
-
-
-def _parse(docs: DataFrame, options: ParserOptions, resolve: bool, id_col: str, xml_col: str) -> DataFrame:
     rows, stream = tokens(docs, options, id_col, xml_col), options.dialect == "stream"
     is_text, raw = F.col("kind") == TEXT, F.coalesce("inner", "piece")
     value = unescape(raw if stream else trim(raw), options.entities, options.decode_entities)
@@ -88,7 +80,13 @@ def _parse(docs: DataFrame, options: ParserOptions, resolve: bool, id_col: str,
     rows = rows.where(~(is_text & F.col("blank")))
     # what costs more than a look at the text comes last: no sort carries it, and nothing is computed that is not asked for
     rows = rows.withColumn("attrs", F.when(F.col("kind") == START, attributes(F.col("attrs"), options)))
-    rows = _resolved(rows, options) if resolve else rows.withColumn("uri", F.lit(None).cast("string"))
+    # resolving looks at tags twice, so documents without declarations go another way: there, no prefix has a uri. `declares` is among
+    # the keys of all windows, so that this condition is the first thing that each way looks at
+    plain = rows.select("*", F.lit(None).cast("string").alias("uri"), F.lit(None).cast("map<int,string>").alias("uris"))
+    if options.namespaces:
+        rows = plain.where("not declares").unionByName(_resolved(rows.where("declares"), options))
+    else:
+        rows = plain
     none, tag = F.lit(None).cast("string"), F.col("kind").isin(START, END)
     kinds = {FIRST: S.START_DOCUMENT, LAST: S.END_DOCUMENT, _FAILED: S.ERROR, START: S.START_ELEMENT, END: S.END_ELEMENT, RAW: S.CDATA, TEXT: S.CHARACTERS}
     kind = F
@@ -104,7 +102,7 @@ def _parse(docs: DataFrame, options: ParserOptions, resolve: bool, id_col: str,
     return rows.select(
         "doc_id", (F.col("seq") + F.col("more")).alias("seq"), F.when(F.col("sub") == 1, S.CHARACTERS).when(F.col("sub") == 2, S.END_ELEMENT).otherwise(F.col("type")).alias("type"),
         F.when(tag, F.col("name")).alias("name"), F.when(tag, local_of(F.col("name"))).alias("local_name"), F.when(tag, prefix_of(F.col("name"))).alias("prefix"),
-        F.when(tag, F.col("uri")).alias("uri"), F.when(start, entries).alias("attributes"), F.when(start, _infos(options, resolve)).alias("attributes_with_prefix"),
+        F.when(tag, F.col("uri")).alias("uri"), F.when(start, entries).alias("attributes"), F.when(start, _infos(options)).alias("attributes_with_prefix"),
         F.when(F.col("kind") == RAW, F.substring("piece", F.lit(10), F.length("piece") - 12)).when(is_text, value).alias("value"),
         F.when(F.col("kind") == _FAILED, F.col("fault")).alias("error"), F.when(inside, F.col("level")).otherwise(0).cast("int").alias("depth"),
         F.when(inside & (F.col("level") > 0), F.col("node_id")).alias("node_id"), F.when(inside & (F.col("level") > 1), F.col("parent_id")).alias("parent_id"),
