@@ -58,6 +58,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         with scratch() as keep:
-            docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"), packed=True)
             keep(docs)
     return STAGES[-1][1](spark, docs, sf_dir)

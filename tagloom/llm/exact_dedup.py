@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import if_small, materialize, slim, table
+from tagloom.llm.common import if_small, materialize, scratch, slim, table
 
 #: Misra-Gries counters: every digest with over 1/COUNTERS of the rows is found.
 COUNTERS = 1000
@@ -120,10 +120,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of docs that stay, with all columns of docs: one row of each group, the one that exact_groups() keeps. The
     decision is a row's own, so of repeated rows one stays, and rows that share an id but not a text do not share its fate.
     Beside a kept row that has an id, one row without id stays, too."""
-    numbered = materialize(docs.withColumn("__rid", F.monotonically_increasing_id()), "numbered")
-    rows = _decide(_digests(numbered, id_col, text_col, F.col("__rid")), counters)
-    stays = F.col("kept") | (F.col("id").isNull() & F.col("keep").isNotNull() & (F.col("rid") == F.col("spare")))
-    gone = materialize(rows.where(~stays).select(F.col("rid").alias("__rid")), "gone")
+    numbered = materialize(docs.withColumn("__rid", F.monotonically_increasing_id()), "numbered", packed=True)
+    with scratch() as keep:
+        rows = _decide(_digests(numbered, id_col, text_col, F.col("__rid")), counters)
+        stays = F.col("kept") | (F.col("id").isNull() & F.col("keep").isNotNull() & (F.col("rid") == F.col("spare")))
+        gone = materialize(rows.where(~stays).select(F.col("rid").alias("__rid")), "gone")
+        keep(gone)
     return numbered.join(if_small(gone), "__rid", "left_anti").drop("__rid")
 
 

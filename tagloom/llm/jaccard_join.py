@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import arrow, as_bytes, if_small, materialize, mix64, slim, small_batches, table
+from tagloom.llm.common import arrow, as_bytes, if_small, materialize, mix64, scratch, slim, small_batches, table
 from tagloom.llm.components import relabel
 from tagloom.llm.rolling import Rolling
 
@@ -263,10 +263,12 @@ def regions(docs: DataFrame, levels: np.ndarray, names: Names, id_col: str, text
             yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in out], ["key", "sig", "sig2", "sid", "at"])
 
     rows = arrow(arrow(slim(docs, text_col), entries, "key long, sid long, at int").repartition("key"), group, "key long, sig long, sig2 long, sid long, at int", rows=100_000)
-    with small_batches(docs.sparkSession, 2000):
+    with scratch() as keep:
         rows = materialize(rows, "regions")
-    first = rows.groupBy("sig", "sig2").agg(F.min("key").alias("key"))
-    return materialize(rows.join(first, ["sig", "sig2", "key"]).select("key", "sid", "at"), "regions")
+        first = rows.groupBy("sig", "sig2").agg(F.min("key").alias("key"))
+        rows = materialize(rows.join(first, ["sig", "sig2", "key"]).select("key", "sid", "at"), "regions")
+        keep(rows)
+    return rows
 
 
 class Box:
@@ -483,8 +485,7 @@ def _named_points(rows: DataFrame) -> tuple[DataFrame, DataFrame, Names]:
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles and component_id of every row of docs."""
-    with small_batches(docs.sparkSession, 2000):
-        read = materialize(read_points(docs, id_col, text_col), "points")
+    read = materialize(read_points(docs, id_col, text_col), "points")
     rows, points, names = _named_points(read.where("kind = 0"))
     levels = frequency_levels(read.where("kind = 1"))
     members = regions(docs, levels, names, id_col, text_col)
@@ -503,8 +504,10 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of docs of each component, the one of the smallest id (null last; then the first such row), with all its columns.
     Decided by row: rows that share an id but no component do not share its fate."""
-    numbered = materialize(docs.withColumn("__rid", F.monotonically_increasing_id()), "numbered")
-    groups = materialize(jaccard_groups(numbered, "__rid", text_col).select("__rid", "component_id"), "groups")
+    numbered = materialize(docs.withColumn("__rid", F.monotonically_increasing_id()), "numbered", packed=True)
+    with scratch() as keep:
+        groups = materialize(jaccard_groups(numbered, "__rid", text_col).select("__rid", "component_id"), "groups")
+        keep(groups)
     rows = groups.join(slim(numbered, id_col, "__rid").withColumnRenamed(id_col, "id"), "__rid")  # not by component: no group meets in one task
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "__rid")).alias("first")
     stays = rows.groupBy("component_id").agg(first).select(F.col("first.__rid").alias("__rid"))
