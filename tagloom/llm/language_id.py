@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from tagloom.llm.common import crc_mod, per_batch, slim, table
 
 SAMPLE, SAMPLE_CHARS, LANGS = 1000, 100_000, 1000
+#: Parts in which the rows of a language are picked first.
+PARTS = 64
 FOLDS, HELD_OUT = 4, 2
 LONGEST = 5
 LEAST_WORD, LEAST_GRAM = 2, 3
@@ -130,9 +132,11 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     langs = [r[0] for r in rows.groupBy("__lang").count().orderBy(F.desc("count"), "__lang").limit(LANGS).collect()]
     short = [r[0] for r in rows.where("not __long").select("__lang").distinct().where(F.col("__lang").isin(langs)).collect()] if langs else []
     rows = rows.where(F.col("__lang").isin(langs) & (~F.col("__long") | ~F.col("__lang").isin(short)))
-    order = Window.partitionBy("__lang").orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col, "__hash")
-    # each task passes on SAMPLE rows of a language at most
-    pick = rows.select(id_col, "__lang", "__hash").distinct().withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= SAMPLE).drop("__n")
+    order = [F.xxhash64(F.col(id_col).cast("string")), F.col(id_col), F.col("__hash")]
+    pick = rows.select(id_col, "__lang", "__hash").distinct().withColumn("__part", F.pmod("__hash", F.lit(PARTS)))
+    for keys in (["__lang", "__part"], ["__lang"]):  # at most PARTS * SAMPLE rows of a language meet, however many tasks there are
+        pick = pick.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("__n") <= SAMPLE)
+    pick = pick.select(id_col, "__lang", "__hash")
     got = rows.join(F.broadcast(pick), [id_col, "__lang", "__hash"]).groupBy("__lang", id_col, "__hash").agg(F.first(F.substring(text_col, 1, SAMPLE_CHARS))).collect()
     texts: dict[str, list[str]] = {}
     for lang, text in sorted((r[0], r[3]) for r in got):
