@@ -13,9 +13,11 @@ bounds the overlap, too: what comes before the common shingle in one set and wha
 Regions with the same members are one region. Below, each region has an R-tree of its own, joined with itself by pruning pairs of boxes.
 
 Copies count once: texts with the same set are one point. Groups of near copies do not become pairs either: first every region links its
-members to one of them (two rounds, each followed by connected components), then only members of different
-components are compared, so a region whose members are all connected is never entered. All surviving pairs are verified on the
-whole sets. The result is exact: a pair of different components that could link is always compared, and sets are told
+members to one of them (a round, followed by connected components), then only members of different
+components are compared, so a region whose members are all connected is never entered. Of these comparisons no table of pairs is made,
+as it would grow with the square of a group: a tree names the members that have a candidate, each pair in the first region that both share,
+then the whole sets of these members meet in their region, which compares them and gives the links that connect components, fewer than it has
+members. The result is exact: a pair of different components that could link is compared until its components are one, and sets are told
 apart by 128 bits (by 64 in the rounds, after those that clash there have been given other numbers).
 
 Edge cases: null texts and texts without words have no shingles and link with nothing; fewer than five words are one
@@ -44,6 +46,8 @@ BITS, PARTS, LEVELS = 22, 64, 4
 LEAF, MANY, ROUNDS, MEMORY = 48, 40, 1, 500_000
 #: Counts that a tree may hold at once.
 CELLS = 4_000_000
+#: Regions of a point by which trees see that a pair meets elsewhere, too; shingles of a block of a region, two of which meet in a task.
+LEAST, HELD = 8, 4_000_000
 #: Fixed odd factors that tell a shingle's places apart.
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
@@ -291,11 +295,13 @@ class Box:
 class Tree:
     """The R-tree of a region's points, and its join with itself."""
 
-    def __init__(self, points: list[Point], comp: np.ndarray, at: np.ndarray):
-        self.points, self.comp, self.at = points, comp, at
+    def __init__(self, points: list[Point], comp: np.ndarray, at: np.ndarray, before: np.ndarray | None = None, side: np.ndarray | None = None):
+        """before: some of the regions of each point that come before this one, see _before(); pairs that have one in common are left to it. side: only pairs of different sides are asked for."""
+        self.points, self.comp, self.at, self.before, self.side = points, comp, at, before, side
         self.low = np.array([p.low for p in points]).astype(np.int32)
         self.n = self.low.sum(1)
         self.listed = np.array([p.listed for p in points])
+        self.fine = np.array([len(p.fine) > 0 for p in points])
         self.all: tuple | None = None
 
     def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -322,18 +328,29 @@ class Tree:
         ok = (4 * self.n[i] >= 3 * self.n[j]) & (4 * self.n[j] >= 3 * self.n[i]) & (self.comp[i] != self.comp[j])
         if a is b:
             ok &= i < j
+        if self.side is not None:
+            ok &= self.side[i] != self.side[j]
         # shared at most: before the common shingle, itself, and behind it
         shared = np.minimum(self.at[i], self.at[j]) + np.minimum(self.n[i] - self.at[i], self.n[j] - self.at[j])
         x, y = np.nonzero(ok & (7 * shared >= 3 * (self.n[i] + self.n[j])))
-        ok[:] = False
-        shared = np.minimum(self.low[a.order[x]], self.low[b.order[y]]).sum(1)
-        ok[x, y] = 7 * shared >= 3 * (self.n[a.order[x]] + self.n[b.order[y]])
-        x, y = np.nonzero(ok)
-        if len(x) > MANY and self.listed[a.order].all() and self.listed[b.order].all():
+        x, y = a.order[x], b.order[y]
+        shared = np.minimum(self.low[x], self.low[y]).sum(1)
+        likely = 7 * shared >= 3 * (self.n[x] + self.n[y])
+        x, y = x[likely], y[likely]
+        if self.before is not None and len(x):
+            here = ~(self.before[x][:, :, None] == self.before[y][:, None, :]).any((1, 2))
+            x, y = x[here], y[here]
+        small = self.listed[x] & self.listed[y]
+        if small.sum() > MANY:
             # many pairs of small sets: products of counts, which are no less than their minima, for all at once
-            p, q = self._counts(a.order, b.order)
-            x, y = np.nonzero(ok & (7 * (p @ q.T) >= 3 * (self.n[i] + self.n[j])))
-        return a.order[x], b.order[y]
+            u, v = np.unique(x[small]), np.unique(y[small])
+            p, q = self._counts(u, v)
+            shared = (p @ q.T)[np.searchsorted(u, x[small]), np.searchsorted(v, y[small])]
+            small[small] = 7 * shared < 3 * (self.n[x[small]] + self.n[y[small]])
+            x, y = x[~small], y[~small]
+        fine = self.fine[x] & self.fine[y]
+        fine[fine] = [not could_link(self.points[u], self.points[v]) for u, v in zip(x[fine], y[fine], strict=True)]
+        return x[~fine], y[~fine]
 
     def _counts(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Counts of the finest groups of points a and of points b, by the groups that occur. Made once if all fit CELLS."""
@@ -377,51 +394,136 @@ def star_pairs(rows: DataFrame, labels: DataFrame | None, salt: int) -> DataFram
     return pairs.select(F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b")).distinct()
 
 
-def cross_pairs(rows: DataFrame, labels: DataFrame | None, points: DataFrame) -> DataFrame:
-    """(a, b): all pairs of different components that share a region and may link, by each region's R-tree.
-
-    A pair may share many regions, so only places and coarse counts are compared here (for small sets, the fine ones too); verified() compares the fine ones once.
+def _before(least: list[list[int]], key: int) -> np.ndarray:
+    """The regions of each list that come before key, as a row of a table; gaps hold numbers that occur once."""
+    width = max(map(len, least))
+    rows = np.array([x + [key] * (width - len(x)) for x in least], np.int64).reshape(len(least), width)
+    # places among all regions met here: a gap's number is below all of them
+    names, at = np.unique(rows, return_inverse=True)
+    return np.where(names[at.reshape(rows.shape)] < key, at.reshape(rows.shape), -1 - np.arange(rows.size).reshape(rows.shape))
+
+
+def _regions(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[list[list]]:
+    """The columns of each run of rows whose first columns, by of them, are equal."""
+    held: list[list] = []
+    for batch in batches:
+        cols = [c.to_pylist() for c in batch.columns]
+        same = np.all([np.array(c[1:], np.int64) == np.array(c[:-1], np.int64) for c in cols[:by]], 0)
+        cuts = [0, *(np.flatnonzero(~same) + 1).tolist(), len(cols[0])]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if hi > lo:
+                if held and all(h[0] == c[lo] for h, c in zip(held[:by], cols, strict=False)):
+                    for h, c in zip(held, cols, strict=True):
+                        h += c[lo:hi]
+                else:
+                    if held:
+                        yield held
+                    held = [c[lo:hi] for c in cols]
+    if held:
+        yield held
+
+
+MEMBERS = "key long, i int, j int, side int, sid long, comp long, at int, least array<long>"
+
+
+def _tree(points: list[Point], key: int, comp: np.ndarray, at: list[int], least: list[list[int]], side: np.ndarray | None = None) -> Tree:
+    return Tree(points, comp, np.array(at, np.int64), _before(least, key), side)
+
+
+def _members(tree: Tree, block: np.ndarray, key: int, sid: list[int], comp: list[int], at: list[int], least: list[list[int]]) -> Iterator[pa.RecordBatch]:
+    """Rows of MEMBERS for the points of a tree that are in one of its pairs; block: the number of each point's block."""
+    many, blocks = len(sid), int(block.max()) + 1
+    found, size = [np.empty(0, np.int64)], 0
+    for x, y in tree.pairs():
+        x, y = np.where(block[x] <= block[y], x, y), np.where(block[x] <= block[y], y, x)
+        tile = (block[x] * blocks + block[y]) * many
+        found.append(np.unique(np.concatenate([tile + x, tile + y])))
+        size += len(found[-1])
+        if size > MEMORY:
+            found, size = [np.unique(np.concatenate(found))], 0
+    tile, member = np.divmod(np.unique(np.concatenate(found)), many)
+    i, j = np.divmod(tile, blocks)
+    side = block[member] != i
+    whole = [np.full(len(member), key, np.int64), *(x.astype(np.int32) for x in (i, j, side)), *(np.array(x, np.int64)[member] for x in (sid, comp)), np.array(at, np.int32)[member]]
+    for lo in range(0, len(member), 10_000):
+        some = slice(lo, lo + 10_000)
+        yield pa.RecordBatch.from_arrays([*(pa.array(x[some]) for x in whole), pa.array([least[k] for k in member[some].tolist()], pa.list_(pa.int64()))], ["key", "i", "j", "side", "sid", "comp", "at", "least"])
+
+
+def candidates(rows: DataFrame, labels: DataFrame | None, points: DataFrame) -> DataFrame:
+    """MEMBERS of regions that have a candidate of another component there, by each region's R-tree.
+
+    A region is dealt in blocks of HELD shingles; a row is for a pair of blocks (i, j), where its member is of block i (side 0) or j (side 1). A pair
+    may share many regions: it is a candidate in the first of them, and in others only if the LEAST first ones of both do not tell. Places and
+    coarse counts are compared first (for small sets, the fine ones too), then the fine counts of the members that are left, by the first of the
+    regions that are left. There only regions' first blocks count as shared: two members of that block are compared in it, others need not be.
     """
     rows = _with_labels(rows, labels)
     mixed = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
+    rows = materialize(rows.join(mixed, "key").select("key", "sid", "comp", "at"), "mixed")
+    least = rows.groupBy("sid").agg(F.slice(F.array_sort(F.collect_set("key")), 1, LEAST).alias("least"))
     coarse = points.select("sid", F.when(F.col("n") > FEW, F.substring("point", 1, 4 * LEAST_GROUPS)).otherwise(F.col("point")).alias("point"))
-    rows = rows.join(mixed, "key").join(coarse, "sid").select("key", "sid", "comp", "point", "at")
+    rows = rows.join(coarse.join(least, "sid"), "sid").select("key", "sid", "comp", "at", "least", "point")
+
+    def by_region(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, sid, comp, at, least, data in _regions(batches, 1):
+            tree = _tree([Point(p) for p in data], key[0], np.unique(np.array(comp, np.int64), return_inverse=True)[1], at, least)
+            order = np.argsort(tree.n, kind="stable")
+            block = np.empty(len(sid), np.int64)
+            block[order] = np.cumsum(tree.n[order]) // HELD
+            yield from _members(tree, block, key[0], sid, comp, at, least)
+
+    rows = materialize(arrow(rows.repartition("key").sortWithinPartitions("key"), by_region, MEMBERS), "candidates")
+
+    def by_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, i, j, side, sid, comp, at, least, data in _regions(batches, 3):
+            tree = _tree([Point(p) for p in data], key[0], np.unique(np.array(comp, np.int64), return_inverse=True)[1], at, least, np.array(side) if i[0] != j[0] else None)
+            yield from _members(tree, np.where(np.array(side) > 0, j[0], i[0]), key[0], sid, comp, at, least)
+
+    least = rows.where("j = 0").groupBy("sid").agg(F.slice(F.array_sort(F.collect_set("key")), 1, 4 * LEAST).alias("least"))
+    rows = rows.drop("least").join(least, "sid", "left").withColumn("least", F.coalesce("least", F.array().cast("array<long>")))
+    rows = rows.join(points.select("sid", "point"), "sid").select("key", "i", "j", "side", "sid", "comp", "at", "least", "point")
+    return arrow(rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"), by_blocks, MEMBERS)
+
+
+def cross_links(rows: DataFrame, labels: DataFrame | None, points: DataFrame, sets: Sets) -> DataFrame:
+    """(a, b): links that connect all components that have one: of each pair of blocks of a region, fewer than it has members."""
+    rows = materialize(candidates(rows, labels, points), "candidates")
+    known = sets.of(rows.select("sid"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def joined(sid: list[int], comp: list[int], data: list[bytes], at: list[int]) -> pa.RecordBatch:
-            _, comps = np.unique(np.array(comp, np.int64), return_inverse=True)
-            got = [np.empty((2, 0), np.int64), *map(np.stack, Tree([Point(p) for p in data], comps, np.array(at, np.int64)).pairs())]
-            a, b = np.array(sid, np.int64)[np.concatenate(got, 1)]
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+        for key, i, j, side, sid, comp, at, least, data in _regions(batches, 3):
+            whole = [np.frombuffer(x, np.uint64) for x in data]
+            up = np.unique(np.array(comp, np.int64), return_inverse=True)[1]  # components, merged with every link; the tree reads them, too
+            tree = _tree([Point(point(s)) for s in whole], key[0], up, at, least, np.array(side) if i[0] != j[0] else None)
+            found = []
+            for x, y in tree.pairs():
+                for u, v in zip(x.tolist(), y.tolist(), strict=True):
+                    if up[u] != up[v] and linked(whole[u], whole[v]):
+                        found.append((sid[u], sid[v]))
+                        up[up == up[u]] = up[v]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
 
-        key, held = None, ([], [], [], [])
-        for batch in batches:
-            k, *rest = (batch.column(i) for i in range(5))
-            k, rest = k.to_numpy(), [x.to_pylist() for x in rest]
-            cuts = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)]
-            for lo, hi in zip(cuts, cuts[1:], strict=False):
-                if hi > lo:
-                    if key is not None and k[lo] != key:
-                        yield joined(*held)
-                        held = ([], [], [], [])
-                    key = k[lo]
-                    for h, x in zip(held, rest, strict=True):
-                        h += x[lo:hi]
-        if key is not None:
-            yield joined(*held)
-
-    return arrow(rows.repartition("key").sortWithinPartitions("key"), run, "a long, b long").distinct()
+    with small_batches(rows.sparkSession, 256):  # a row holds a whole set
+        rows = rows.join(known, "sid").select("key", "i", "j", "side", "sid", "comp", "at", "least", "set")
+        return materialize(arrow(rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"), run, "a long, b long"), "linked")
+
+
+def linked(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets link."""
+    return 7 * len(np.intersect1d(a, b, assume_unique=True)) >= 3 * (len(a) + len(b))
 
 
 class Sets:
-    """The sets of the points that pairs ask for, read again from the texts and kept."""
+    """The sets of the points that are asked for, read again from the texts and kept."""
 
     def __init__(self, docs: DataFrame, points: DataFrame, names: Names, id_col: str, text_col: str):
         self.docs, self.points, self.names, self.id_col, self.text_col = docs, points, names, id_col, text_col
         self.known: DataFrame | None = None
 
-    def of(self, pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
+    def of(self, sids: DataFrame) -> DataFrame:
+        ids = sids.distinct()
         if self.known is not None:
             ids = ids.join(self.known.select("sid"), "sid", "left_anti")
         ids = materialize(self.points.join(ids, "sid").select(F.col("id").alias("__id"), "sid"), "ids")
@@ -451,15 +553,12 @@ def verified(pairs: DataFrame, points: DataFrame, sets: Sets) -> DataFrame:
 
     pairs = arrow(sized.join(a.drop("na"), "a").join(b.drop("nb"), "b").select("a", "b", "pa", "pb"), bound, "a long, b long")
     pairs = materialize(pairs, "pairs")
-    known = sets.of(pairs)
+    known = sets.of(pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))))
     a, b = (known.select(F.col("sid").alias(x), F.col("set").alias(f"s{x}")) for x in "ab")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                ok.append(7 * len(np.intersect1d(x, y, assume_unique=True)) >= 3 * (len(x) + len(y)))
+            ok = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
     with small_batches(pairs.sparkSession, 256):  # a row holds two whole sets
@@ -492,7 +591,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sets, labels = Sets(docs, points, names, id_col, text_col), None
     for k in range(ROUNDS):
         labels = relabel(labels, verified(star_pairs(members, labels, k), points, sets))
-    labels = relabel(labels, verified(cross_pairs(members, labels, points), points, sets))
+    labels = relabel(labels, cross_links(members, labels, points, sets))
     # names: the smallest id of a component
     ids = points.select("sid", "id").join(if_small(labels).withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     linked = ids.join(labels.select("comp").distinct(), "comp").groupBy("comp").agg(F.min("id").alias("component_id"))

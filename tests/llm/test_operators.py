@@ -196,6 +196,36 @@ def test_jaccard_in_any_order_of_shingles(spark, mixed, rounds, monkeypatch):
     assert [got[i].component_id for i in range(len(mixed))] == plain_components(plain_sets(mixed))
 
 
+@pytest.mark.parametrize("held", [400, 4_000_000])
+def test_jaccard_in_blocks_of_regions(spark, mixed, held, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "HELD", held)
+    monkeypatch.setattr(jaccard_join, "ROUNDS", 0)
+    long = [" ".join(f"z{k}" if k % 97 != i else f"y{i}" for k in range(700)) for i in range(6)]
+    texts = mixed + long
+    got = by_id(jaccard_join.jaccard_groups(documents(spark, texts)))
+    assert [got[i].component_id for i in range(len(texts))] == plain_components(plain_sets(texts))
+
+
+def test_jaccard_makes_no_table_of_pairs(spark, monkeypatch):
+    rng, rows, write = random.Random(8), Counter(), jaccard_join.materialize
+
+    def counted(df, label, **more):
+        df = write(df, label, **more)
+        rows[label] = max(rows[label], df.count())
+        return df
+
+    monkeypatch.setattr(jaccard_join, "materialize", counted)
+    monkeypatch.setattr(jaccard_join, "ROUNDS", 0)
+    linked = [[f"w{k}" for k in range(150)] for _ in range(80)]
+    for i, t in enumerate(linked):
+        t[rng.randrange(150)] = f"x{i}"
+    apart = [[f"v{k}" for k in range(120)] + [f"v{i}-{k}" for k in range(24)] for i in range(80)]  # 116 shingles of 164 are shared
+    texts = [" ".join(t) for t in linked + apart]
+    got = by_id(jaccard_join.jaccard_groups(documents(spark, texts)))
+    assert [got[i].component_id for i in range(160)] == [0] * 80 + list(range(80, 160))
+    assert max(rows[x] for x in ("pairs", "candidates", "linked")) <= 10 * len(texts)  # not the 3,160 pairs of either group
+
+
 def test_region_trees_find_every_link():
     rng = random.Random(12)
     base = [str(k) for k in range(90)]
