@@ -10,7 +10,8 @@ linked pair meets in a region. The order is by frequency, rare shingles first, s
 regions: every shingle of every text is counted in a table of 2**BITS cells (a fixed size), whose levels are sent to all
 tasks. Shingles that share a cell only come later than they could, so the order costs no link. A place in that order
 bounds the overlap, too: what comes before the common shingle in one set and what comes behind it in the other is not shared.
-Regions with the same members are one region. Below, each region has an R-tree of its own, joined with itself by pruning pairs of boxes.
+Most shingles of prefixes are in one text only; a first pass sends 32 bits of each and gives a table of bits, so that only those that
+two texts have, and a few more, are sent with the number of their set. Regions with the same members are one region. Below, each region has an R-tree of its own, joined with itself by pruning pairs of boxes.
 
 Copies count once: texts with the same set are one point. Groups of near copies do not become pairs either: first every region links its
 members to one of them (a round, followed by connected components), then only members of different
@@ -41,6 +42,7 @@ from tagloom.llm.rolling import Rolling
 N = 5
 #: Groups of a point, see point().
 LEAST_GROUPS, MOST_GROUPS, PER_GROUP, FEW = 64, 1 << 16, 8, 512
+LISTED, COUNTED = b"l", b"c"
 #: Cells of the table of frequencies, as a power of two; parts in which it is summed; levels of a doubling.
 BITS, PARTS, LEVELS = 22, 64, 4
 LEAF, MANY, ROUNDS, MEMORY = 48, 40, 1, 500_000
@@ -48,6 +50,8 @@ LEAF, MANY, ROUNDS, MEMORY = 48, 40, 1, 500_000
 CELLS = 4_000_000
 #: Regions of a point by which trees see that a pair meets elsewhere, too; shingles of a block of a region, two of which meet in a task.
 LEAST, HELD = 8, 4_000_000
+#: Bits of the table of keys that two texts have, as a power of two at most; keys that a task sorts at once.
+MOST_BITS, SORTED = 29, 1 << 20
 #: Fixed odd factors that tell a shingle's places apart.
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
@@ -89,27 +93,34 @@ class Names:
 
 
 def point(s: np.ndarray) -> bytes:
-    """The point of a set: LEAST_GROUPS counts, then the finer groups that its size asks for.
+    """The point of a set: LEAST_GROUPS counts, and the finer groups that its size asks for.
 
     A group is the hash's upper bits, so counts of fewer groups are sums of neighbours. Up to FEW shingles the finer groups
-    are the MOST_GROUPS ones, written as a list; above, they are counts of about a group for PER_GROUP shingles.
+    are the MOST_GROUPS ones, written as a list of differences, lower bytes first, from which the counts follow; above, they
+    are counts of about a group for PER_GROUP shingles, behind the others.
     """
     fine = (s >> np.uint64(48)).astype(np.uint16)
+    if len(s) <= FEW:
+        return LISTED + np.diff(fine, prepend=np.uint16(0)).view(np.uint8).reshape(-1, 2).T.tobytes()
     low = np.bincount(fine >> 10, minlength=LEAST_GROUPS).astype(np.uint32)
-    if len(s) > FEW:
-        groups = min(MOST_GROUPS, 1 << ((len(s) - 1) // PER_GROUP).bit_length())
-        fine = np.bincount(fine // (MOST_GROUPS // groups), minlength=groups).astype(np.uint16 if len(s) < MOST_GROUPS else np.uint32)
-    return low.tobytes() + fine.tobytes()
+    groups = min(MOST_GROUPS, 1 << ((len(s) - 1) // PER_GROUP).bit_length())
+    fine = np.bincount(fine // (MOST_GROUPS // groups), minlength=groups).astype(np.uint16 if len(s) < MOST_GROUPS else np.uint32)
+    return COUNTED + low.tobytes() + fine.tobytes()
 
 
 class Point:
     """A point that was read: n, low (counts of LEAST_GROUPS), and fine: a list of groups or counts."""
 
     def __init__(self, data: bytes):
-        self.low = np.frombuffer(data, np.uint32, LEAST_GROUPS)
-        self.n = int(self.low.sum())
-        self.listed = self.n <= FEW
-        self.fine = np.frombuffer(data, np.uint32 if self.n >= MOST_GROUPS else np.uint16, offset=4 * LEAST_GROUPS)
+        self.listed = data[:1] == LISTED
+        if self.listed:
+            steps = np.frombuffer(data, np.uint8, offset=1).reshape(2, -1).T.copy().view(np.uint16).ravel()
+            self.n, self.fine = len(steps), np.cumsum(steps, dtype=np.uint16)
+            self.low = np.bincount(self.fine >> 10, minlength=LEAST_GROUPS).astype(np.uint32)
+        else:
+            self.low = np.frombuffer(data, np.uint32, LEAST_GROUPS, offset=1)
+            self.n = int(self.low.sum())
+            self.fine = np.frombuffer(data, np.uint32 if self.n >= MOST_GROUPS else np.uint16, offset=1 + 4 * LEAST_GROUPS)
 
     def counts(self, groups: int) -> np.ndarray:
         if self.listed:
@@ -162,7 +173,7 @@ class Counts:
 
     def parts(self) -> list[bytes]:
         self._count()
-        return [x.tobytes() if x.any() else b"" for x in np.minimum(self.total, 255).astype(np.uint8).reshape(PARTS, -1)]
+        return [pa.compress(x.tobytes(), "zstd", asbytes=True) if x.any() else b"" for x in np.minimum(self.total, 255).astype(np.uint8).reshape(PARTS, -1)]
 
 
 def frequency_levels(counts: DataFrame) -> np.ndarray:
@@ -172,7 +183,7 @@ def frequency_levels(counts: DataFrame) -> np.ndarray:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(data, np.uint8)
+                x = np.frombuffer(pa.decompress(data, (1 << BITS) // PARTS, "zstd"), np.uint8)
                 total[part] = total[part] + x if part in total else x.astype(np.int64)
         levels = [np.minimum(255, np.rint(LEVELS * np.log2(1 + x))).astype(np.uint8).tobytes() for x in total.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(levels, pa.binary())], ["part", "levels"])
@@ -223,25 +234,109 @@ def read_points(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return arrow(slim(docs, id_col, text_col), run, schema)
 
 
-def regions(docs: DataFrame, levels: np.ndarray, names: Names, id_col: str, text_col: str) -> DataFrame:
-    """(key, sid, at) of regions with two members or more, no two regions with the same members; at is the place of key in the set's order."""
-    sent = docs.sparkSession.sparkContext.broadcast(levels)  # a byte a cell
-
-    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # copies in a task count once
+def _prefixes(batches: Iterator[pa.RecordBatch], levels: np.ndarray, names: Names) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """Of each batch of texts: the number and prefix of every set. Copies in a task count once."""
+    seen: set[int] = set()
+    for batch in batches:
+        got = []
+        if len(seen) > MEMORY:
+            seen.clear()
+        for text in as_bytes(batch.column(0)):
+            s = shingles(text)
+            if len(s) and (sid := names.of(s)) not in seen:
+                seen.add(sid)
+                got.append((sid, prefix(s, levels)))
+        if got:
+            yield got
+
+
+class Twice:
+    """The keys that more than one text has: a table of bits, in parts. A key's mix names its part and, by 32 other bits, its bit there. A key
+    that one text has may share the bit of another, and is kept with it; no key that two texts have is missed."""
+
+    def __init__(self, parts: int, entries: int):
+        """entries: how many keys all texts have about, which the table has bits for."""
+        self.parts, self.bits = parts, 8 * -(-min(1 << MOST_BITS, max(entries, 1)) // (8 * parts))
+        self.table = np.zeros(0, np.uint8)
+
+    def codes(self, keys: np.ndarray) -> np.ndarray:
+        """The part in the upper half, what is left of the key in the lower one."""
+        h = mix64(keys ^ FACTORS[0])
+        return (h >> np.uint64(32)) * np.uint64(self.parts) & ~np.uint64(0xFFFFFFFF) | h & np.uint64(0xFFFFFFFF)
+
+    def slots(self, low: np.ndarray) -> np.ndarray:
+        return (low.astype(np.uint64) * np.uint64(self.bits) >> np.uint64(32)).astype(np.int64)
+
+    def rows(self, keys: np.ndarray) -> pa.RecordBatch:
+        """(part, n, low) of many keys: the lower halves of their codes, ascending, packed by their differences; none more than twice."""
+        code, times = np.unique(self.codes(keys), return_counts=True)
+        code = np.repeat(code, np.minimum(times, 2))
+        part, low = (code >> np.uint64(32)).astype(np.int64), (code & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        start = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        packed = [pa.compress(np.diff(x, prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True) for x in np.split(low, start[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(part[start]), pa.array(np.diff(np.append(start, len(low)))), pa.array(packed, pa.binary())], ["part", "n", "low"])
+
+    def part(self, rows: list[tuple[int, bytes]]) -> bytes:
+        """The bits of a part, from all its rows (n, low)."""
+        unpacked = (np.frombuffer(pa.decompress(data, 4 * n, "zstd"), np.uint8).reshape(4, n).T.copy().view(np.uint32).ravel() for n, data in rows)
+        low = np.sort(np.concatenate([np.cumsum(x, dtype=np.uint32) for x in unpacked]))
+        bits = np.zeros(self.bits, bool)
+        bits[self.slots(low[1:][low[1:] == low[:-1]])] = True
+        return np.packbits(bits, bitorder="little").tobytes()
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        code = self.codes(keys)
+        at = (code >> np.uint64(32)).astype(np.int64) * self.bits + self.slots(code & np.uint64(0xFFFFFFFF))
+        return (self.table[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def met_twice(docs: DataFrame, levels: np.ndarray, names: Names, text_col: str, entries: int) -> Twice:
+    """Which keys more than one text has, so that the many that one text has alone need not meet: 32 bits of each are sent, packed. The
+    driver gets up to a bit a key, 64 MB at most."""
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast(levels)  # a byte a cell
+    twice = Twice(max(PARTS, int(spark.conf.get("spark.sql.shuffle.partitions"))), entries)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for got in _prefixes(batches, sent.value, names):
+            held += [keys for _, keys in got]
+            size += sum(len(keys) for _, keys in got)
+            if size >= SORTED:
+                yield twice.rows(np.concatenate(held))
+                held, size = [], 0
+        if held:
+            yield twice.rows(np.concatenate(held))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, list[tuple[int, bytes]]] = {}
         for batch in batches:
-            keys, sids, places = [], [], []
-            if len(seen) > MEMORY:
-                seen.clear()
-            for text in as_bytes(batch.column(0)):
-                s = shingles(text)
-                if len(s) and (sid := names.of(s)) not in seen:
-                    seen.add(sid)
-                    keys.append(prefix(s, sent.value))
-                    sids.append(np.full(len(keys[-1]), sid, np.int64))
-                    places.append(np.arange(len(keys[-1]), dtype=np.int32))
-            if keys:
-                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(keys)), *(pa.array(np.concatenate(x)) for x in (sids, places))], ["key", "sid", "at"])
+            for part, n, low in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                parts.setdefault(part, []).append((n, low))
+        for part, rows in parts.items():
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([twice.part(rows)], pa.binary())], ["part", "bits"])
+
+    rows = arrow(slim(docs, text_col), send, "part long, n long, low binary").repartition("part")
+    table = np.zeros((twice.parts, twice.bits // 8), np.uint8)
+    for part, data in arrow(rows, meet, "part long, bits binary").collect():  # a row a part
+        table[part] = np.frombuffer(data, np.uint8)
+    twice.table = table.ravel()
+    return twice
+
+
+def regions(docs: DataFrame, levels: np.ndarray, names: Names, text_col: str, entries: int) -> DataFrame:
+    """(key, sid, at) of regions with two members or more, no two regions with the same members; at is the place of key in the set's order."""
+    sent = docs.sparkSession.sparkContext.broadcast((levels, met_twice(docs, levels, names, text_col, entries)))
+
+    def entries_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels, twice = sent.value
+        for got in _prefixes(batches, levels, names):
+            size = [len(keys) for _, keys in got]
+            keys = np.concatenate([keys for _, keys in got])
+            sids = np.repeat(np.array([sid for sid, _ in got], np.int64), size)
+            places = np.concatenate([np.arange(n, dtype=np.int32) for n in size])
+            some = twice.has(keys)
+            yield pa.RecordBatch.from_arrays([_signed(keys[some]), pa.array(sids[some]), pa.array(places[some])], ["key", "sid", "at"])
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [[b.column(i).to_numpy() for i in range(3)] for b in batches]
@@ -266,7 +361,7 @@ def regions(docs: DataFrame, levels: np.ndarray, names: Names, id_col: str, text
         for i in range(0, len(out[0]), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in out], ["key", "sig", "sig2", "sid", "at"])
 
-    rows = arrow(arrow(slim(docs, text_col), entries, "key long, sid long, at int").repartition("key"), group, "key long, sig long, sig2 long, sid long, at int", rows=100_000)
+    rows = arrow(arrow(slim(docs, text_col), entries_of, "key long, sid long, at int").repartition("key"), group, "key long, sig long, sig2 long, sid long, at int", rows=100_000)
     with scratch() as keep:
         rows = materialize(rows, "regions")
         first = rows.groupBy("sig", "sig2").agg(F.min("key").alias("key"))
@@ -374,6 +469,11 @@ def _table(lists: list[np.ndarray], limit: int | None = CELLS) -> np.ndarray | N
     return np.bincount(row * len(names) + at, minlength=len(lists) * len(names)).reshape(len(lists), -1).astype(np.float32)
 
 
+def _points_of(points: DataFrame, sids: DataFrame) -> DataFrame:
+    """The points of these sets, found before points are moved if there are few."""
+    return points.join(if_small(materialize(sids.distinct(), "met")), "sid", "left_semi")
+
+
 def _with_labels(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
         return rows.withColumn("comp", F.col("sid"))
@@ -462,7 +562,7 @@ def candidates(rows: DataFrame, labels: DataFrame | None, points: DataFrame) ->
     mixed = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
     rows = materialize(rows.join(mixed, "key").select("key", "sid", "comp", "at"), "mixed")
     least = rows.groupBy("sid").agg(F.slice(F.array_sort(F.collect_set("key")), 1, LEAST).alias("least"))
-    coarse = points.select("sid", F.when(F.col("n") > FEW, F.substring("point", 1, 4 * LEAST_GROUPS)).otherwise(F.col("point")).alias("point"))
+    coarse = _points_of(points, rows.select("sid")).select("sid", F.when(F.col("n") > FEW, F.substring("point", 1, 1 + 4 * LEAST_GROUPS)).otherwise(F.col("point")).alias("point"))
     rows = rows.join(coarse.join(least, "sid"), "sid").select("key", "sid", "comp", "at", "least", "point")
 
     def by_region(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -482,7 +582,7 @@ def candidates(rows: DataFrame, labels: DataFrame | None, points: DataFrame) ->
 
     least = rows.where("j = 0").groupBy("sid").agg(F.slice(F.array_sort(F.collect_set("key")), 1, 4 * LEAST).alias("least"))
     rows = rows.drop("least").join(least, "sid", "left").withColumn("least", F.coalesce("least", F.array().cast("array<long>")))
-    rows = rows.join(points.select("sid", "point"), "sid").select("key", "i", "j", "side", "sid", "comp", "at", "least", "point")
+    rows = _points_of(points, rows.select("sid")).select("sid", "point").join(rows, "sid").select("key", "i", "j", "side", "sid", "comp", "at", "least", "point")
     return arrow(rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"), by_blocks, MEMBERS)
 
 
@@ -506,7 +606,7 @@ def cross_links(rows: DataFrame, labels: DataFrame | None, points: DataFrame, se
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
 
     with small_batches(rows.sparkSession, 256):  # a row holds a whole set
-        rows = rows.join(known, "sid").select("key", "i", "j", "side", "sid", "comp", "at", "least", "set")
+        rows = known.join(if_small(rows), "sid").select("key", "i", "j", "side", "sid", "comp", "at", "least", "set")
         return materialize(arrow(rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"), run, "a long, b long"), "linked")
 
 
@@ -526,9 +626,11 @@ class Sets:
         ids = sids.distinct()
         if self.known is not None:
             ids = ids.join(self.known.select("sid"), "sid", "left_anti")
-        ids = materialize(self.points.join(ids, "sid").select(F.col("id").alias("__id"), "sid"), "ids")
+        ids = materialize(if_small(materialize(ids, "ids")).join(self.points, "sid").select(F.col("id").alias("__id"), "sid", "copies"), "ids")
         docs, names, id_col, text_col = self.docs, self.names, self.id_col, self.text_col
-        rows = slim(docs, id_col, text_col).join(if_small(ids), F.col(id_col).eqNullSafe(F.col("__id"))).select("sid", text_col)
+
+        def texts(ids: DataFrame) -> DataFrame:
+            return slim(docs, id_col, text_col).join(if_small(ids), F.col(id_col).eqNullSafe(F.col("__id"))).select("sid", text_col)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -536,24 +638,30 @@ class Sets:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.int64()), pa.array([s.tobytes() for _, s in got], pa.binary())], ["sid", "set"])
 
         with small_batches(docs.sparkSession, 1000):
-            new = materialize(arrow(rows, run, "sid long, set binary").dropDuplicates(["sid"]), "sets")
+            new = arrow(texts(ids.where("copies = 1")), run, "sid long, set binary")
+            if ids.where("copies > 1").limit(1).count():  # rows that share a text may share its id, too
+                new = new.unionByName(arrow(texts(ids.where("copies > 1")), run, "sid long, set binary").dropDuplicates(["sid"]))
+            new = materialize(new, "sets")
         self.known = new if self.known is None else self.known.unionByName(new)
         return self.known
 
 
 def verified(pairs: DataFrame, points: DataFrame, sets: Sets) -> DataFrame:
     """The pairs that link: by size, by the fine counts of their points, then by their whole sets."""
-    a, b = (points.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("point").alias(f"p{x}")) for x in "ab")
-    sized = materialize(pairs.join(a.drop("pa"), "a").join(b.drop("pb"), "b").where("4 * na >= 3 * nb and 4 * nb >= 3 * na").select("a", "b"), "pairs")
+    ends = lambda x: x.select(F.col("a").alias("sid")).unionByName(x.select(F.col("b").alias("sid")))
+    a, b = (points.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
+    sized = materialize(pairs.join(a, "a").join(b, "b").where("4 * na >= 3 * nb and 4 * nb >= 3 * na").select("a", "b"), "pairs")
+    some = _points_of(points, ends(sized))
+    a, b = (some.select(F.col("sid").alias(x), F.col("point").alias(f"p{x}")) for x in "ab")
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = [could_link(Point(x), Point(y)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    pairs = arrow(sized.join(a.drop("na"), "a").join(b.drop("nb"), "b").select("a", "b", "pa", "pb"), bound, "a long, b long")
+    pairs = arrow(sized.join(a, "a").join(b, "b").select("a", "b", "pa", "pb"), bound, "a long, b long")
     pairs = materialize(pairs, "pairs")
-    known = sets.of(pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))))
+    known = sets.of(ends(pairs))
     a, b = (known.select(F.col("sid").alias(x), F.col("set").alias(f"s{x}")) for x in "ab")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -566,10 +674,11 @@ def verified(pairs: DataFrame, points: DataFrame, sets: Sets) -> DataFrame:
 
 
 def _named_points(rows: DataFrame) -> tuple[DataFrame, DataFrame, Names]:
-    """Rows and different points, with numbers that no two sets share. Clashes of 64 bits are a handful even among 10**11 sets."""
+    """Rows and different sets (sid, id, n, copies: the rows that have it), with numbers that no two sets share. Clashes of 64 bits are a handful even among 10**11 sets."""
 
     def different(rows: DataFrame) -> DataFrame:
-        found = rows.where("n > 0").groupBy("sid").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("point").alias("point"), (F.min("other") != F.max("other")).alias("clash"))
+        found = rows.where("n > 0").groupBy("sid").agg(
+            F.min("id").alias("id"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"), (F.min("other") != F.max("other")).alias("clash"))
         return materialize(found, "points")
 
     points = different(rows)
@@ -582,16 +691,31 @@ def _named_points(rows: DataFrame) -> tuple[DataFrame, DataFrame, Names]:
     return rows, points.drop("clash"), Names(clashes)
 
 
+def _read(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, Names]:
+    """Rows (id, sid, n), different sets (sid, id, n, copies), members of regions, the points of these members, and names. Points of texts that
+    meet no other go with what else is written on the way."""
+    with scratch() as keep:
+        read = materialize(read_points(docs, id_col, text_col), "read")
+        with_points, points, names = _named_points(read.where("kind = 0"))
+        rows = materialize(with_points.select("id", "sid", "n"), "rows")
+        levels = frequency_levels(read.where("kind = 1"))
+        entries = points.select(F.sum((F.col("n") / 4 + 1).cast("long"))).first()[0] or 0
+        members = regions(docs, levels, names, text_col, entries)
+        met = materialize(members.select("sid").distinct(), "met")
+        found = with_points.select("sid", "point").join(if_small(met), "sid").groupBy("sid").agg(F.first("point").alias("point"))
+        found = materialize(found.join(points, "sid"), "met-points")
+        for df in (rows, points, members, found):
+            keep(df)
+    return rows, points, members, found, names
+
+
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles and component_id of every row of docs."""
-    read = materialize(read_points(docs, id_col, text_col), "points")
-    rows, points, names = _named_points(read.where("kind = 0"))
-    levels = frequency_levels(read.where("kind = 1"))
-    members = regions(docs, levels, names, id_col, text_col)
-    sets, labels = Sets(docs, points, names, id_col, text_col), None
+    rows, points, members, met, names = _read(docs, id_col, text_col)
+    sets, labels = Sets(docs, met, names, id_col, text_col), None
     for k in range(ROUNDS):
-        labels = relabel(labels, verified(star_pairs(members, labels, k), points, sets))
-    labels = relabel(labels, cross_links(members, labels, points, sets))
+        labels = relabel(labels, verified(star_pairs(members, labels, k), met, sets))
+    labels = relabel(labels, cross_links(members, labels, met, sets))
     # names: the smallest id of a component
     ids = points.select("sid", "id").join(if_small(labels).withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     linked = ids.join(labels.select("comp").distinct(), "comp").groupBy("comp").agg(F.min("id").alias("component_id"))

@@ -12,7 +12,7 @@ from collections import Counter
 import pytest
 import tiktoken
 
-from tagloom.llm import byte_bpe, chat_trees, decontamination, exact_dedup, jaccard_join, language_id, line_dedup, pii, suffix_dedup, toxicity
+from tagloom.llm import byte_bpe, chat_trees, common, decontamination, exact_dedup, jaccard_join, language_id, line_dedup, pii, suffix_dedup, toxicity
 from tagloom.llm.components import components
 
 #: A table of documents with extra columns whose names the operators use inside.
@@ -226,6 +226,34 @@ def test_jaccard_makes_no_table_of_pairs(spark, monkeypatch):
     assert max(rows[x] for x in ("pairs", "candidates", "linked")) <= 10 * len(texts)  # not the 3,160 pairs of either group
 
 
+def test_jaccard_moves_only_what_two_texts_have(spark, monkeypatch):
+    sent, points, run, write = [], {}, jaccard_join.arrow, jaccard_join.materialize
+
+    def counted(df, f, schema, **more):
+        df = run(df, f, schema, **more)
+        if schema == "key long, sid long, at int":  # a key of a prefix each
+            sent.append(df.count())
+        return df
+
+    def noted(df, label, **more):
+        df = write(df, label, **more)
+        if label == "pairs":  # tables of points that are still there when pairs are compared
+            for path in common._tables:
+                if path not in before and "point" in (kept := spark.read.parquet(path)).columns:
+                    points[path] = kept.count()
+        return df
+
+    before = set(common._tables)
+    monkeypatch.setattr(jaccard_join, "arrow", counted)
+    monkeypatch.setattr(jaccard_join, "materialize", noted)
+    own = [[f"w{i}-{k}" for k in range(300)] for i in range(40)]
+    texts = [" ".join(t) for t in [*own, [*own[7][:299], "x"], own[9]]]
+    got = by_id(jaccard_join.jaccard_groups(documents(spark, texts)))
+    assert [got[i].component_id for i in range(42)] == [*range(40), 7, 9]
+    assert 75 <= sum(sent) <= 1500  # prefixes hold 3,000 keys, 225 of them of the texts that have a copy or a near copy
+    assert points and sum(points.values()) <= 20
+
+
 def test_region_trees_find_every_link():
     rng = random.Random(12)
     base = [str(k) for k in range(90)]
