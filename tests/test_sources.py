@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tagloom.functions.udtf import register
 from tagloom.sources.documents import CHUNKS, chunks, decoded, read_chunk_stream, read_files, read_records
-from tagloom.streaming.incremental import parse, parse_stream
+from tagloom.streaming.incremental import parse, parse_chunks, parse_stream
 
 
 def test_files(spark, tmp_path):
@@ -46,3 +46,21 @@ def test_udtf(spark):
     register(spark)
     rows = spark.sql("SELECT e.type, e.name FROM VALUES ('<a/>') d(xml), LATERAL xml_events(d.xml) e").collect()
     assert [(r.type, r.name) for r in rows] == [("START_DOCUMENT", None), ("START_ELEMENT", "a"), ("END_ELEMENT", "a"), ("END_DOCUMENT", None)]
+
+
+def test_a_table_of_chunks_is_read_in_streams(spark):
+    """No call a document; chunks out of order, again, missing, empty, without number or behind the end; a document without id."""
+    texts = ["<a>é<b k=\"v\">t</b><!-- c --><![CDATA[z]]></a>", "<a><b></a>", "", "<a>open", "<x xmlns:p='u'/>" * 5, "<a>" + "long " * 4000 + "</a>"]
+    docs = spark.createDataFrame([(i if i else None, texts[i % 6]) for i in range(60)], "doc_id long, xml string")
+    rows = [tuple(r) for r in chunks(docs, 3).collect()]
+    odd = [(1, None, bytearray(b"<z>"), False), (1, 0, bytearray(b"<a>"), False), (1, 99, bytearray(b"<z>"), True), (77, 1, bytearray(b"<a/>"), True), (78, 0, None, None), (78, 1, bytearray(b"<a/>"), True)]
+    table = spark.createDataFrame(sorted(rows, key=lambda r: hash((r[0], r[1])) % 1009) + odd, CHUNKS)
+    for given, more in ((table.repartition(4, "chunk_seq"), {78: "<a/>"}), (chunks(docs, 3), {})):
+        events = parse_chunks(given)
+        assert "FlatMapGroups" not in events._jdf.queryExecution().executedPlan().toString()
+        got: dict = {}
+        for r in events.collect():
+            got.setdefault(r.doc_id, []).append(tuple(r.asDict(True).values())[1:])
+        for i, t in ({i if i else None: texts[i % 6] for i in range(60)} | more).items():
+            assert sorted(got.pop(i), key=lambda e: e[0]) == [tuple(e[c] for c in events.columns[1:]) for e in parse(t)]
+        assert not got
