@@ -32,3 +32,9 @@ def test_query(spark, db, name):
     got = sorted(repr([tidy(r[c]) for c in cols]) for r in df.collect())
     at = [want.columns.index(c) for c in cols]
     assert got == sorted(repr([tidy(r[i]) for i in at]) for r in want.fetchall())
+
+
+def test_roundtrip_events_does_not_compute_what_was_written_again(spark, db):
+    """A parse reads its documents several times, so the parse and the writing before it must not stand in its plan."""
+    plan = QUERIES["roundtrip_events"](spark, DATA)._jdf.queryExecution().analyzed().toString()
+    assert "l_orderkey" in plan and "l_linenumber" not in plan
